@@ -56,11 +56,9 @@ def category_colours(heaps: DataFrame, projects: DataFrame) -> DataFrame:
     listed = projects.select("project_id", F.posexplode("material_categories").alias("_pos", "material_category"))
     # a name listed twice takes its first position
     first = listed.groupBy("project_id", "material_category").agg(F.min("_pos").alias("_pos"))
+    position = F.col("_pos") % len(CATEGORY_COLOURS)
     return heaps.join(first, ["project_id", "material_category"], "left").withColumn(
-        "colour",
-        F.coalesce(
-            F.element_at(palette, (F.col("_pos") % len(CATEGORY_COLOURS) + 1).cast("int")), F.lit(UNCLASSIFIED_COLOUR)
-        ),
+        "colour", F.when(F.col("_pos").isNotNull(), palette[position]).otherwise(F.lit(UNCLASSIFIED_COLOUR))
     ).drop("_pos")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from moundlake.functions import planar
 from moundlake.functions.rings import polygon_bounds
 from moundlake.operators.graph import connected_components
+from moundlake.runtime import spread
 
 IOU_THRESHOLD = 0.3        # fixed values: defaults of the comparison settings
 STABILITY_THRESHOLD = 0.05
@@ -69,7 +70,7 @@ def polygon_iou(pairs: DataFrame) -> DataFrame:
                 iou.append(common / either if either > 0 else 0.0)
             yield batch[["pair_id", "heap_a", "heap_b"]].assign(iou=iou)
 
-    return pairs.mapInPandas(run, "pair_id long, heap_a long, heap_b long, iou double").where("iou > 0")
+    return spread(pairs).mapInPandas(run, "pair_id long, heap_a long, heap_b long, iou double").where("iou > 0")
 
 
 def raster_iou(cells_a: DataFrame, cells_b: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from moundlake.functions import planar
 from moundlake.functions.rings import parse_geometry, polygon_area
-from moundlake.runtime import bounded_broadcast
+from moundlake.runtime import bounded_broadcast, spread
 
 RINGS_DDL = "array<array<array<double>>>"
 
@@ -107,7 +107,7 @@ def _map_rings(df: DataFrame, change, extra: str = "") -> DataFrame:
             ]
             yield batch
 
-    return df.mapInPandas(run, df.schema)
+    return spread(df).mapInPandas(run, df.schema)
 
 
 def _local(rings: planar.Rings) -> tuple[planar.Rings, np.ndarray]:
@@ -176,27 +176,31 @@ def split(polygons: DataFrame) -> DataFrame:
                         out.append({**head, "part": i + 1, "rings": planar.closed_lists(part, origin), "error": None})
             yield pd.DataFrame(out, columns=[*keys, "part", "rings", "error"]).astype({"part": "Int32"})
 
-    return polygons.mapInPandas(run, f"{schema}, part int, rings {RINGS_DDL}, error string")
+    return spread(polygons).mapInPandas(run, f"{schema}, part int, rings {RINGS_DDL}, error string")
 
 
 def merge(members: DataFrame, group: str = "merge_id") -> DataFrame:
-    """Union per merge group: group, members, rings, error (fewer than two polygons)."""
+    """Union per merge group: group, members, rings, error (fewer than two polygons).
+
+    A group is the handful of polygons that become one polygon value.
+    """
     kind = members.schema[group].dataType.simpleString()
+    grouped = members.groupBy(group).agg(F.collect_list("rings").alias("shapes"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        head = {group: rows[group].iloc[0], "members": len(rows), "rings": None, "error": None}
-        if len(rows) < 2:
-            head["error"] = "merge needs at least 2 polygons"
-        else:
-            shapes = [planar.to_rings(r) for r in rows["rings"]]
-            origin = np.floor(shapes[0][0][0])
-            parts = planar.union([[r - origin for r in s] for s in shapes])
-            head["rings"] = planar.closed_lists([r for part in parts for r in part], origin)
-        return pd.DataFrame([head])
-
-    return members.select(group, "rings").groupBy(group).applyInPandas(
-        run, f"{group} {kind}, members int, rings {RINGS_DDL}, error string"
-    )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, nested in zip(batch[group], batch["shapes"], strict=True):
+                if len(nested) < 2:
+                    out.append((key, len(nested), None, "merge needs at least 2 polygons"))
+                    continue
+                rings = [planar.to_rings(r) for r in nested]
+                origin = np.floor(rings[0][0][0])
+                parts = planar.union([[r - origin for r in one] for one in rings])
+                out.append((key, len(nested), planar.closed_lists([r for part in parts for r in part], origin), None))
+            yield pd.DataFrame(out, columns=[group, "members", "rings", "error"])
+
+    return spread(grouped).mapInPandas(run, f"{group} {kind}, members int, rings {RINGS_DDL}, error string")
 
 
 def decode_geometries(df: DataFrame, text: str = "polygon_geojson") -> DataFrame:

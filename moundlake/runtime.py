@@ -62,3 +62,12 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows evenly over the shuffle partitions before heavy per-row work.
+
+    A fixed partition number keeps adaptive execution from packing a small but
+    slow-to-process table into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

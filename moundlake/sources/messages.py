@@ -61,10 +61,11 @@ def stage_durations(progress: DataFrame) -> DataFrame:
         F.min("ts").alias("started"), F.max("ts").alias("_last")
     )
     order = Window.partitionBy("run_id").orderBy("started", "phase")
+    seconds = lambda ts: F.unix_micros(ts.cast("timestamp")).cast("double") / 1e6
     end = F.coalesce(F.lead("started").over(order), F.max("_last").over(Window.partitionBy("run_id")))
     return starts.withColumn("_end", end).select(
         "run_id", "phase", "started",
-        F.round(F.unix_micros("_end").cast("double") / 1e6 - F.unix_micros("started").cast("double") / 1e6, 3).alias("seconds"),
+        F.round(seconds(F.col("_end")) - seconds(F.col("started")), 3).alias("seconds"),
     )
 
 

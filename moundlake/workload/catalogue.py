@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moundlake.workload import raster_queries  # noqa: F401
+from moundlake.workload import raster_queries, record_queries, vector_queries  # noqa: F401
 from moundlake.workload.registry import ORACLES, QUERIES
 
 
