@@ -12,10 +12,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moundlake.functions import planar
 from moundlake.functions.rings import parse_geometry, polygon_area
 from moundlake.runtime import bounded_broadcast, spread
+from moundlake.schema import RINGS
 
 RINGS_DDL = "array<array<array<double>>>"
 
@@ -107,7 +109,9 @@ def _map_rings(df: DataFrame, change, extra: str = "") -> DataFrame:
             ]
             yield batch
 
-    return spread(df).mapInPandas(run, df.schema)
+    # the helper may return NULL polygons, whatever the input column promised
+    kinds = [T.StructField(f.name, RINGS if f.name == "rings" else f.dataType, True) for f in df.schema.fields]
+    return spread(df).mapInPandas(run, T.StructType(kinds))
 
 
 def _local(rings: planar.Rings) -> tuple[planar.Rings, np.ndarray]:
