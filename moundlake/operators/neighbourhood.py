@@ -27,24 +27,26 @@ def column_line() -> WindowSpec:
 _AXES = {"row": ("r", "c", row_line), "column": ("c", "r", column_line)}
 
 
-def dense_cells(cells: DataFrame, grids: DataFrame) -> DataFrame:
+def dense_cells(cells: DataFrame, grids: DataFrame, axis: str = "row") -> DataFrame:
     """One row per grid cell; cells without a value become NULL.
 
-    Skeleton and values meet in one shuffle by grid line, and the row windows
-    that follow reuse that partitioning.
+    Skeleton and values meet in one shuffle by grid line (rows, or columns when the
+    next window runs down the columns), and that window reuses the partitioning.
     """
+    schema = cells.schema
     values = [name for name in cells.columns if name not in ("survey_id", "r", "c")]
+    across, along, _ = _AXES[axis]
+    size = {"r": "height", "c": "width"}
     lines = grids.select(
-        "survey_id", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("r")
-    ).repartition("survey_id", "r")
+        "survey_id", size[along], F.explode(F.sequence(F.lit(0), F.col(size[across]) - 1)).alias(across)
+    ).repartition("survey_id", across)
     skeleton = lines.select(
-        "survey_id", "r", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("c")
+        "survey_id", across, F.explode(F.sequence(F.lit(0), F.col(size[along]) - 1)).alias(along),
+        *[F.lit(None).cast(schema[name].dataType).alias(name) for name in values],
     )
-    for name in values:
-        skeleton = skeleton.withColumn(name, F.lit(None).cast(cells.schema[name].dataType))
     return (
         skeleton.unionByName(cells)
-        .repartition("survey_id", "r")
+        .repartition("survey_id", across)
         .groupBy("survey_id", "r", "c")
         .agg(*[F.max(name).alias(name) for name in values])
     )
@@ -72,16 +74,13 @@ def sliding(df: DataFrame, value: str, out: str, axis: str, before: int, after:
         # one shuffle by grid line serves the block windows and the line windows
         df.repartition(*keys)
         .withColumn("_block", block)
-        .withColumn("_ahead", pick(value).over(forward))
-        .withColumn("_behind", pick(value).over(backward))
+        .withColumns({"_ahead": pick(value).over(forward), "_behind": pick(value).over(backward)})
         .withColumn("_line_end", F.first("_ahead").over(from_end))
     )
     right = F.coalesce(F.lead("_ahead", after).over(line()), F.col("_line_end"))
     left = F.lag("_behind", before).over(line())
     both = F.least if how == "min" else F.greatest
-    return scanned.withColumn("_right", right).withColumn("_left", left).withColumn(
-        out, both("_right", "_left")
-    ).drop("_block", "_ahead", "_behind", "_line_end", "_right", "_left")
+    return scanned.withColumn(out, both(right, left)).drop("_block", "_ahead", "_behind", "_line_end")
 
 
 def grey_erosion_frames(k: int) -> tuple[int, int]:
@@ -111,9 +110,7 @@ def _dilate(df: DataFrame, flag: str, axis: str, reach: int) -> DataFrame:
 def _erode(df: DataFrame, flag: str, axis: str, reach: int) -> DataFrame:
     frame = _AXES[axis][2]().rowsBetween(-reach, reach)
     inside = F.count(F.lit(1)).over(frame) == F.lit(2 * reach + 1)
-    return df.withColumn("_n", inside).withColumn(flag, F.min(flag).over(frame)).withColumn(
-        flag, F.when(F.col("_n"), F.col(flag)).otherwise(F.lit(0))
-    ).drop("_n")
+    return df.withColumn(flag, F.when(inside, F.min(flag).over(frame)).otherwise(F.lit(0)))
 
 
 def binary_opening(df: DataFrame, flag: str, k: int = 3) -> DataFrame:
@@ -145,7 +142,7 @@ def gradient(df: DataFrame, value: str, res: Column) -> DataFrame:
             .otherwise((ahead - behind) / (F.lit(2.0) * res))
         )
 
-    return df.withColumn("gx", slope(row_line())).withColumn("gy", slope(column_line()))
+    return df.withColumns({"gx": slope(row_line()), "gy": slope(column_line())})
 
 
 def boundary_flag(df: DataFrame, label: str, out: str = "is_boundary") -> DataFrame:
@@ -160,9 +157,9 @@ def boundary_flag(df: DataFrame, label: str, out: str = "is_boundary") -> DataFr
         other = F.lag(F.struct(F.col(along).alias("at"), F.col(label).alias("label")), step).over(line)
         return F.coalesce((other["at"] == F.col(along) - step) & (other["label"] == F.col(label)), F.lit(False))
 
-    df = df.withColumn("_h", same(across, "c", 1) & same(across, "c", -1))
-    df = df.withColumn("_v", same(down, "r", 1) & same(down, "r", -1))
-    return df.withColumn(out, (F.col(label) > 0) & ~(F.col("_h") & F.col("_v"))).drop("_h", "_v")
+    level = same(across, "c", 1) & same(across, "c", -1)
+    upright = same(down, "r", 1) & same(down, "r", -1)
+    return df.withColumn(out, (F.col(label) > 0) & ~(level & upright))
 
 
 def local_maxima(df: DataFrame, value: str, distance: int, out: str = "is_peak") -> DataFrame:

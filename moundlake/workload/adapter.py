@@ -28,12 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def raw_points(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """survey_id, u, v, z_mm, cls in integer units, plus any ``lineitem`` columns asked for."""
     li = table(spark, sf_dir, "lineitem")
+    # inline() makes u and v plain columns: a filter above is not rewritten in terms of
+    # their formulas, which would swell it beyond what the JIT compiles
     base = li.select(
         F.expr(f"1 + l_orderkey % 2 + 2 * (l_orderkey div {SITE_ORDERS})").alias("survey_id"),
-        F.expr("(l_orderkey*7919 + l_partkey*104729 + l_linenumber*1299709) % 4000").alias("u"),
         F.expr(
-            "(l_orderkey*15485863 + l_suppkey*32452843 + l_partkey*49979687 + l_linenumber*86028121) % 4000"
-        ).alias("v"),
+            """inline(array(named_struct(
+              'u', (l_orderkey*7919 + l_partkey*104729 + l_linenumber*1299709) % 4000,
+              'v', (l_orderkey*15485863 + l_suppkey*32452843 + l_partkey*49979687 + l_linenumber*86028121) % 4000)))"""
+        ),
         "l_quantity",
         *extra,
     )
@@ -54,7 +57,16 @@ def raw_points(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     return heights.select(
         "survey_id", "u", "v",
         F.expr("cast(floor(100000D + h*1000D + 0.5D) as bigint) + cast(l_quantity as bigint) % 10").alias("z_mm"),
-        F.expr("cast(case when h = 0D then 2 else 1 end as int)").alias("cls"),
+        # ground = outside every solid, in whole 5 cm units: a filter on the class is
+        # pushed below the heights and must not drag their formula along
+        F.expr(
+            """cast(case when (u-1000)*(u-1000) + (v-1000)*(v-1000) < 90000
+                      or (u-3000)*(u-3000) + (v-1000)*(v-1000) < if(odd, 57600, 69696)
+                      or greatest(abs(u-1000), abs(v-3000)) * 10 < if(odd, 2000, 1826)
+                      or (odd and (u-3000)*(u-3000) + (v-3000)*(v-3000) < 129600)
+                      or (not odd and (u-2000)*(u-2000) + (v-2000)*(v-2000) < 40000)
+                 then 1 else 2 end as int)"""
+        ).alias("cls"),
         *extra,
     )
 

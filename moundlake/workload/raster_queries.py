@@ -258,7 +258,7 @@ def agg_03(spark, d):
 
 @register("JON-09", query("SELECT survey_id, r, c, v FROM dsm", "dsm"))
 def jon_09(spark, d):
-    dense = nb.dense_cells(stages.surface_raw(spark, d), stages.grids(spark, d))
+    dense = nb.dense_cells(stages.surface_raw(spark, d), stages.grids(spark, d), "column")
     return surface.nearest_fill(dense)
 
 

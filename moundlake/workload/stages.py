@@ -41,7 +41,9 @@ def surface_raw(spark, sf_dir) -> DataFrame:
 def surface_filled(spark, sf_dir) -> DataFrame:
     return _once(
         spark, sf_dir, "surface",
-        lambda: surface.nearest_fill(nb.dense_cells(surface_raw(spark, sf_dir), grids(spark, sf_dir))),
+        lambda: surface.nearest_fill(
+            nb.dense_cells(surface_raw(spark, sf_dir), grids(spark, sf_dir), "column")
+        ),
     )
 
 
