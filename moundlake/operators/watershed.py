@@ -48,11 +48,12 @@ def peaks(labels: DataFrame, height: DataFrame, grids: DataFrame, distance: int
 def split_heaps(labels: DataFrame, height: DataFrame, grids: DataFrame, distance: int = 10) -> DataFrame:
     """Labels after splitting every heap with two or more peaks; other heaps keep theirs.
 
-    Every cell climbs to its highest 4-neighbour, which gives one basin per local
-    top. Basins without a peak then join the neighbour across their highest pass,
-    round by round, until each basin hangs on one peak. Both steps are component
-    searches on distributed edge tables. New ids follow the survey's largest id,
-    in the order of (heap, row, column) of the peak.
+    Same parts as flooding the inverted heap from its peaks, but as graph steps:
+    every cell climbs to its highest 4-neighbour, which gives one basin per local
+    top; basins without a peak join the neighbour across their highest pass, round
+    by round; the passes then say through which cell every cell is reached first.
+    Each step is a component search on a distributed edge table. New ids follow the
+    survey's largest id, in the order of (heap, row, column) of the peak.
     """
     found = cut_lineage(peaks(labels, height, grids, distance))
     many = found.groupBy("survey_id", "heap_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("survey_id", "heap_id")
@@ -79,13 +80,10 @@ def split_heaps(labels: DataFrame, height: DataFrame, grids: DataFrame, distance
     climb = around.withColumn("_up", F.array_max(F.array(me, F.col("_w"), F.col("_e"), F.col("_n"), F.col("_s"))))
     basins = connected_components(climb.select("survey_id", F.col("id").alias("a"), (-F.col("_up.n")).alias("b")))
     owned = cut_lineage(cells.join(basins.withColumnRenamed("node", "id"), ["survey_id", "id"]))
-    # passes between basins: the lower cell of each touching pair
+    # passes between basins: the highest of the lower cells of all touching pairs
     touching = cut_lineage(
-        around.select(
-            "survey_id", "id", "v",
-            F.explode(F.array_compact(F.array(F.col("_e"), F.col("_s")))).alias("k"),
-        )
-        .select("survey_id", "id", (-F.col("k.n")).alias("other"), F.least("v", "k.v").alias("pass"))
+        around.select("survey_id", "id", me.alias("mine"), F.explode(F.array_compact(F.array(F.col("_e"), F.col("_s")))).alias("k"))
+        .select("survey_id", "id", (-F.col("k.n")).alias("other"), F.least("mine", "k").alias("pass"))
         .join(owned.select("survey_id", "id", F.col("root").alias("ra")), ["survey_id", "id"])
         .join(owned.select("survey_id", F.col("id").alias("other"), F.col("root").alias("rb")), ["survey_id", "other"])
         .where("ra <> rb")
@@ -101,7 +99,10 @@ def split_heaps(labels: DataFrame, height: DataFrame, grids: DataFrame, distance
             owned.join(tops, ["survey_id", "id"], "left_semi").select("survey_id", "root", F.col("id").alias("peak")),
             ["survey_id", "root"], "left",
         )
-        .select("survey_id", F.col("root").alias("basin"), F.col("root").alias("comp"), "peak")
+        .select(
+            "survey_id", F.col("root").alias("basin"), F.col("root").alias("comp"), "peak",
+            F.lit(None).cast("struct<v:double,n:bigint>").alias("level"),
+        )
     )
     for _ in range(MAX_ROUNDS):
         comps = state.select("survey_id", "basin", "comp")
@@ -117,13 +118,17 @@ def split_heaps(labels: DataFrame, height: DataFrame, grids: DataFrame, distance
         # one total order of passes, so that the choices never form a cycle
         choice = F.struct("pass", (-F.col("x")).alias("nx"), (-F.col("y")).alias("ny"))
         chosen = both.join(done, ["survey_id", "comp"], "left_anti").groupBy("survey_id", "comp").agg(
-            F.max_by("to", choice).alias("to")
+            F.max_by("to", choice).alias("to"), F.max("pass").alias("_pass")
         )
         chosen = cut_lineage(chosen)
         if chosen.isEmpty():
             break
         joined = connected_components(chosen.select("survey_id", F.col("comp").alias("a"), F.col("to").alias("b")))
-        renamed = state.join(
+        # a basin fills up to the lowest of the passes on its way to a peak
+        lowered = state.join(chosen.select("survey_id", "comp", "_pass"), ["survey_id", "comp"], "left").withColumn(
+            "level", F.least("level", "_pass")
+        ).drop("_pass")
+        renamed = lowered.join(
             joined.withColumnRenamed("node", "comp"), ["survey_id", "comp"], "left"
         ).withColumn("comp", F.coalesce("root", "comp")).drop("root")
         known = renamed.groupBy("survey_id", "comp").agg(F.min("peak").alias("peak"))
@@ -144,8 +149,37 @@ def split_heaps(labels: DataFrame, height: DataFrame, grids: DataFrame, distance
             (F.col("_max") + F.col("_offset") + inside).alias("part_id"),
         )
     )
+    # flood order: a cell above the level of its basin is reached through that pass; any
+    # other cell joins the neighbour that is reached first, the one with the highest level
+    levels = state.select("survey_id", F.col("basin").alias("root"), "level")
+    marked = tops.withColumn("is_top", F.lit(True))
+    reached = (
+        owned.join(levels, ["survey_id", "root"]).join(marked, ["survey_id", "id"], "left")
+        .withColumn("key", F.least(me, F.col("level")))
+    )
+
+    def reached_beside(keys: list[str], along: str, step: int):
+        line = Window.partitionBy("survey_id", "heap_id", *keys).orderBy(along)
+        other = F.lag(F.struct(F.col(along).alias("at"), "key", "id"), step).over(line)
+        return F.when(other["at"] == F.col(along) - step, F.struct(other["key"].alias("key"), other["id"].alias("id")))
+
+    neighbours = F.array_compact(
+        F.array(
+            reached_beside(["r"], "c", 1), reached_beside(["r"], "c", -1),
+            reached_beside(["c"], "r", 1), reached_beside(["c"], "r", -1),
+        )
+    )
+    linked = reached.withColumn("_first", F.array_max(neighbours)["id"]).select(
+        "survey_id", F.col("id").alias("a"),
+        F.when(F.col("is_top"), F.col("id")).when(me > F.col("level"), -F.col("level.n")).otherwise(F.col("_first")).alias("b"),
+    )
+    trees = connected_components(linked)
+    owners = trees.join(tops.withColumnRenamed("id", "node"), ["survey_id", "node"], "left_semi").select(
+        "survey_id", "root", F.col("node").alias("peak")
+    )
     parts = (
-        owned.join(state.select("survey_id", F.col("basin").alias("root"), "peak"), ["survey_id", "root"])
+        cells.join(trees.withColumnRenamed("node", "id"), ["survey_id", "id"])
+        .join(owners, ["survey_id", "root"])
         .join(numbers, ["survey_id", "peak"])
         .select("survey_id", "r", "c", F.col("part_id").alias("heap_id"))
     )
