@@ -22,9 +22,6 @@ def session(app: str = "moundlake", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # cell percentiles keep a few thousand small counters per task in memory before
-        # they fall back to sorting
-        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
         **conf,
     }
     for key, value in settings.items():

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from moundlake.operators.quantiles import cell_percentile
 from moundlake.operators.surface import bin_points
 from moundlake.schema import POINTS
 from moundlake.sources.messages import parse_messages
@@ -52,12 +53,10 @@ def ingested(spark: SparkSession, table: str) -> DataFrame:
 
 def touched_surface(points: DataFrame, touched: DataFrame, grids: DataFrame, q: float = 0.95) -> DataFrame:
     """Exact surface quantile of the touched cells only (quantiles do not merge)."""
-    return (
-        bin_points(points, grids)
-        .join(touched.select("survey_id", "r", "c").distinct(), ["survey_id", "r", "c"], "left_semi")
-        .groupBy("survey_id", "r", "c")
-        .agg(F.round(F.percentile("z", F.lit(q)), 6).alias("v"))
+    inside = bin_points(points, grids).join(
+        touched.select("survey_id", "r", "c").distinct(), ["survey_id", "r", "c"], "left_semi"
     )
+    return cell_percentile(inside, ["survey_id", "r", "c"], "z", q, "v")
 
 
 def latest_progress(messages: DataFrame) -> DataFrame:

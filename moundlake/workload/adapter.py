@@ -28,8 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def raw_points(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """survey_id, u, v, z_mm, cls in integer units, plus any ``lineitem`` columns asked for."""
     li = table(spark, sf_dir, "lineitem")
-    # inline() makes u and v plain columns: a filter above is not rewritten in terms of
-    # their formulas, which would swell it beyond what the JIT compiles
+    # inline() makes u, v and z_mm plain columns: a filter above is not rewritten in terms
+    # of their formulas, which would swell it beyond what the JIT compiles
     base = li.select(
         F.expr(f"1 + l_orderkey % 2 + 2 * (l_orderkey div {SITE_ORDERS})").alias("survey_id"),
         F.expr(
@@ -56,7 +56,10 @@ def raw_points(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     )
     return heights.select(
         "survey_id", "u", "v",
-        F.expr("cast(floor(100000D + h*1000D + 0.5D) as bigint) + cast(l_quantity as bigint) % 10").alias("z_mm"),
+        F.expr(
+            """inline(array(named_struct('z_mm',
+              cast(floor(100000D + h*1000D + 0.5D) as bigint) + cast(l_quantity as bigint) % 10)))"""
+        ),
         # ground = outside every solid, in whole 5 cm units: a filter on the class is
         # pushed below the heights and must not drag their formula along
         F.expr(
