@@ -69,15 +69,32 @@ def stage_durations(progress: DataFrame) -> DataFrame:
     )
 
 
-def progress_order(progress: DataFrame) -> DataFrame:
-    """Per run: whether percentages never fall, and how often they do."""
-    order = Window.partitionBy("run_id").orderBy("ts", "seq")
+def progress_order(progress: DataFrame, bucket: str = "hour") -> DataFrame:
+    """Per run: whether percentages never fall, and how often they do.
+
+    Neighbours are compared inside time buckets of a run, then across the ends of
+    neighbouring buckets, so a run with most of the messages is never one task.
+    """
+    order = F.struct("ts", "seq")
+    inside = Window.partitionBy("run_id", "_bucket").orderBy("ts", "seq")
+    buckets = (
+        progress.withColumn("_bucket", F.date_trunc(bucket, F.col("ts")))
+        .withColumn("_before", F.lag("percent").over(inside))
+        .groupBy("run_id", "_bucket")
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.count_if(F.col("percent") < F.col("_before")).alias("_falls"),
+            F.min_by("percent", order).alias("_first"),
+            F.max_by("percent", order).alias("_last"),
+        )
+    )
+    previous = F.lag("_last").over(Window.partitionBy("run_id").orderBy("_bucket"))
     return (
-        progress.withColumn("_before", F.lag("percent").over(order))
+        buckets.withColumn("_previous", previous)
         .groupBy("run_id")
         .agg(
-            F.count(F.lit(1)).alias("messages"),
-            F.count_if(F.col("percent") < F.col("_before")).alias("falls"),
+            F.sum("_n").alias("messages"),
+            (F.sum("_falls") + F.count_if(F.col("_first") < F.col("_previous"))).alias("falls"),
         )
         .withColumn("monotone", F.col("falls") == 0)
     )

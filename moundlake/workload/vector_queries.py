@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import functions as F
@@ -75,8 +76,9 @@ SELECT poly_id, min(x1) AS min_x, min(y1) AS min_y, max(x1) AS max_x, max(y1) AS
 
 
 def fixture_polygons(spark, d, polys=POLYGONS):
-    rows = spark.createDataFrame(list(polys.items()), f"poly_id int, rings {shapes.RINGS_DDL}")
-    return stages.grids(spark, d).select("survey_id").crossJoin(F.broadcast(rows))
+    text = json.dumps([{"poly_id": k, "rings": rings} for k, rings in polys.items()])
+    listed = F.from_json(F.lit(text), f"array<struct<poly_id:int,rings:{shapes.RINGS_DDL}>>")
+    return stages.grids(spark, d).select("survey_id", F.explode(listed).alias("p")).select("survey_id", "p.*")
 
 
 @register("JON-03", query("SELECT survey_id, poly_id, r, c FROM poly_cells", "poly_cells"))
@@ -182,9 +184,11 @@ SPACING = {1: 0.5, 2: 1.5, 3: 1.0, 4: 1.0, 5: 0.7}
 
 
 def section_lines(spark, d):
-    rows = [(k, [[W0 + x, S0 + y] for x, y in pts], SPACING[k]) for k, pts in SECTIONS.items()]
-    table = spark.createDataFrame(rows, "section_id int, coords array<array<double>>, spacing double")
-    return stages.grids(spark, d).select("survey_id").crossJoin(F.broadcast(table))
+    text = json.dumps([
+        {"section_id": k, "coords": [[W0 + x, S0 + y] for x, y in pts], "spacing": SPACING[k]} for k, pts in SECTIONS.items()
+    ])
+    listed = F.from_json(F.lit(text), "array<struct<section_id:int,coords:array<array<double>>,spacing:double>>")
+    return stages.grids(spark, d).select("survey_id", F.explode(listed).alias("s")).select("survey_id", "s.*")
 
 
 _SEG = ", ".join(
