@@ -90,9 +90,11 @@ def heap_rows(spark):
 
 def test_csv_file_has_mark_separator_and_headers(spark, tmp_path):
     exports.write_csv(heap_rows(spark), str(tmp_path / "csv"))
-    text = next((tmp_path / "csv" / "survey_id=1").glob("*.csv")).read_bytes()
-    assert text.startswith(b"\xef\xbb\xbfID;Volume_m3;Area_planimetrica_m2")
-    assert b"1;10.000;4.000;5.000;2.00;1.00;100.00;1.000000" in text and text.splitlines()[0].count(b";") == 14
+    files = [f.read_bytes() for f in (tmp_path / "csv" / "survey_id=1").glob("*.csv")]
+    assert all(t.startswith(b"\xef\xbb\xbfID;Volume_m3;Area_planimetrica_m2") for t in files)
+    lines = [line for t in files for line in t.splitlines()[1:]]
+    assert len(lines) == 3 and all(line.count(b";") == 14 for line in lines)
+    assert any(line.startswith(b"1;10.000;4.000;5.000;2.00;1.00;100.00;1.000000") for line in lines)
 
 
 def test_geojson_lines_skip_excluded_heaps(spark, tmp_path):
