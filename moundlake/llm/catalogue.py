@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundlake.llm import content_sort, simhash
+from moundlake.llm import content_sort, licenses, secrets, simhash
 from moundlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,21 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+@query("op5_secrets")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secrets.BASE_RULES]
+    counts = [F.size(secrets.of_kinds([k])).cast("long").alias(f"n_{k}") for k in base]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.listed(secrets.of_kinds(base)), 256).alias("base_sha256"), secrets.listed("spans").alias("spans")
+    )
+
+
+@query("op7_licenses", licenses.sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op10_exact_dedup", """
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
            doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
