@@ -59,3 +59,19 @@ def in_batches(
                 at += step
 
     return df.mapInArrow(run, schema)
+
+
+def label_sample(labels: DataFrame, label_col: str, id_col: str, train, most: int) -> DataFrame:
+    """``(doc_id, label)`` of about ``most`` labelled rows at most, chosen by a hash of the id among those ``train`` admits.
+
+    One row a document; of contradicting labels 1 counts. Null ids and labels are left out.
+    """
+    known = (
+        labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
+        .where("doc_id IS NOT NULL AND label IN (0, 1)").where(train(F.col("doc_id")))
+        .groupBy("doc_id").agg(F.max("label").alias("label"))
+    )
+    total = known.count()
+    if total <= most:
+        return known
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(most / total * (1 << 30))))
