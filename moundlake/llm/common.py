@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from moundlake.runtime import cut_lineage
 
@@ -35,18 +37,16 @@ def crc_bucket(id_col: str | Column, buckets: int) -> Column:
 
 
 def in_batches(
-    df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, max_bytes: int = 16 << 20
+    df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str | StructType, max_bytes: int = 16 << 20
 ) -> DataFrame:
     """Run ``work`` over Arrow slices of at most about ``max_bytes`` and build batches from the columns it yields.
 
     ``work`` gets one slice and yields dicts of column name to array or list. A slice holds
     whole rows, so one very long text makes a slice of its own.
     """
-    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema.fields]
-    # lets the workers build Arrow types without a session
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema, prefers_large_types=False)
+    types = df.sparkSession.createDataFrame([], schema).schema
+    names = types.names
+    arrow = to_arrow_schema(types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
