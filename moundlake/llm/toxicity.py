@@ -24,7 +24,7 @@ SIGNS = re.escape("".join(LEET))
 LETTERS = 28  # word boundary, a to z, any other letter
 SWAPPED = re.compile(rf"[{SIGNS}][a-z]".encode())
 REPEATED = re.compile(rb"([a-z])\1\1")
-SPACED = re.compile(rf"(?<![a-z{SIGNS}])[a-z{SIGNS}](?:[ ._*-][a-z{SIGNS}]){{2,}}(?![a-z{SIGNS}])".encode())
+SPACED = re.compile(rf"(?<![a-z0-9])[a-z{SIGNS}](?:[ ._*-][a-z{SIGNS}]){{2,}}(?![a-z0-9])".encode())
 JOINED = re.compile(rb"(?<![a-z])[a-z]+(?:[._*-][a-z]+)+(?![a-z])")
 TOKEN_BYTES = frozenset(b"abcdefghijklmnopqrstuvwxyz" + "".join(LEET).encode())
 # Everything but letters parts words; bytes above 127 belong to letters here.
