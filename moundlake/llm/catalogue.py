@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundlake.llm import content_sort, forest, licenses, quality, secrets, simhash, toxicity
+from moundlake.llm import content_sort, forest, licenses, quality, sampling, secrets, simhash, toxicity
 from moundlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_sampling")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations a document, and the hash of what each decodes to."""
+    encoded = sampling.encode(table(spark, sf_dir, "documents"), k=2)
+    rows = encoded.select("doc_id", F.posexplode("samples").alias("sample", "s")).select("doc_id", "sample", "s.*")
+    return sampling.decode(rows, "ids", "decoded").select(
+        "doc_id", "sample", F.size("ids").alias("n_pieces"), "log_prob", "log_inclusion", F.sha2("decoded", 256).alias("decoded_sha256"), "ids"
+    )
+
+
 @query("op7_licenses", licenses.sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
