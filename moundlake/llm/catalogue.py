@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundlake.llm import content_sort, forest, licenses, quality, sampling, secrets, simhash, toxicity
+from moundlake.llm import content_sort, forest, licenses, mixing, quality, sampling, secrets, simhash, toxicity
 from moundlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+@query("op3_mixing", mixing.sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id", "source"])
+    return mixed.select(
+        F.col("row.doc_id").alias("doc_id"), F.coalesce("row.source", F.lit("")).alias("source"), "epoch", "block", "tokens", "start", "quota"
+    )
+
+
 @query("op4_hash_forest")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
