@@ -20,7 +20,7 @@ SPACE = "▁"
 LITERAL = "\udc81"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 # Units walked at a time, which bounds the memory of a walk whatever the length of a text.
-WALK = 1 << 15
+WALK = 1 << 13
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,7 +59,9 @@ class Vocabulary:
         self.byte_logp = float(alpha * -np.log(n * total))
         hashes = np.array([self.hash_of(self.pieces[i]) for i in plain], dtype=np.uint64)
         self.keys, self.ids = np.zeros((1 << self.SLOTS) + 64, np.uint64), np.full((1 << self.SLOTS) + 64, -1, np.int32)
-        self.tries = 1
+        self.tries, self.begins = 1, np.zeros(1 << self.SLOTS, bool)
+        heads = {self.pieces[i][:n] for i in plain for n in range(1, len(self.pieces[i]) + 1)}
+        self.begins[self.slots(np.array([self.hash_of(x) for x in heads], dtype=np.uint64))] = True
         for h, at, i in zip(hashes.tolist(), self.slots(hashes).tolist(), plain, strict=True):
             step = 0
             while self.ids[at + step] >= 0:
@@ -77,12 +79,14 @@ class Vocabulary:
     def slots(self, hashes: np.ndarray) -> np.ndarray:
         return (mix(hashes) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece of each hash or -1, and whether a piece may begin so."""
         at, out = self.slots(hashes), np.full(len(hashes), -1, np.int32)
+        open_ = self.begins[at]
         for step in range(self.tries):
             hit = (self.keys[at + step] == hashes) & (self.ids[at + step] >= 0)
             out[hit] = self.ids[at + step][hit]
-        return out
+        return out, open_
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation; the space put before the text goes."""
@@ -127,13 +131,12 @@ class Lattices:
         start = end - lens
         left = np.repeat(end, lens) - np.arange(len(codes))  # characters to the unit's end
         where, length, piece, weight = [], [], [], []
-        h, at = np.zeros(len(codes), np.uint64), np.arange(len(codes))
+        now, at = np.zeros(len(codes), np.uint64), np.arange(len(codes))
         for n in range(1, vocabulary.longest + 1):
-            at = at[left[at] >= n]
             if not len(at):
                 break
-            h[at] = now = h[at] * FACTOR + codes[at + n - 1] + np.uint64(1)
-            found = vocabulary.find(now)
+            now = now * FACTOR + codes[at + n - 1] + np.uint64(1)
+            found, more = vocabulary.find(now)
             if n == 1:  # a character without a piece goes by its bytes
                 code = np.where(codes == ord(LITERAL), ord(SPACE), codes).astype(np.int64)
                 size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
@@ -146,8 +149,13 @@ class Lattices:
             length.append(np.full(len(spots), n, np.int64))
             piece.append(pieces)
             weight.append(weights)
+            more &= left[at] > n
+            at, now = at[more], now[more]
         where, length, piece, weight = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (where, length, piece, weight))
-        order = np.argsort(left[where] * len(codes) + where, kind="stable")  # nearest to the end first
+        order = np.argsort(where, kind="stable")
+        # nearest to the end first; short numbers sort by radix
+        ring = left[where[order]]
+        order = order[np.argsort(ring.astype(np.uint16) if len(ring) and ring.max() < 1 << 16 else ring, kind="stable")]
         where, length, piece, weight = where[order], length[order], piece[order], weight[order]
         # log-probability of all ways from a character to its unit's end; the end itself has the extra place
         ways = np.zeros(len(codes) + 1)
@@ -260,7 +268,8 @@ class Sampler:
         up = before[which] + gone
         v = value[own[which]] - (up + drawn) + np.log(-np.expm1(lost))
         g = value[own[which]] - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v)))
-        order = np.argsort(own[which], kind="stable")
+        mine = own[which]
+        order = np.argsort(mine.astype(np.uint16) if mine.max() < 1 << 16 else mine, kind="stable")
         text = own[which][order]
         heads = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
         g_sorted = g[order]
@@ -311,12 +320,16 @@ class Sampler:
 
 
 def with_bytes(pieces: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    if not len(pieces) or pieces.min() >= 0:
+    """Ids, with the byte pieces of each character that has no piece."""
+    spots = np.flatnonzero(pieces < 0)
+    if not len(spots):
         return pieces
-    out: list[int] = []
-    for p in pieces.tolist():
-        out += [p] if p >= 0 else [vocabulary.bytes[b] for b in chr(-1 - p).encode()]
-    return np.array(out)
+    each = [chr(-1 - p).encode() for p in pieces[spots].tolist()]
+    count = np.ones(len(pieces), np.int64)
+    count[spots] = [len(x) for x in each]
+    out = np.repeat(pieces, count)
+    out[out < 0] = [vocabulary.bytes[b] for x in each for b in x]
+    return out
 
 
 def log_inclusion(logp: float, threshold: float) -> float:
@@ -331,9 +344,9 @@ def encode(
     """``(doc_id, samples)``: up to ``k`` distinct segmentations of each whole text, sampled without replacement.
 
     A sample has ``ids``, ``log_prob`` (of the segmentation among all of its text),
-    ``value`` (its Gumbel value; samples come by falling value) and ``log_inclusion``, the log of
-    the probability that it is among the first ``k``, given the next value; with fewer than
-    ``k`` + 1 segmentations in all it is 0. The values are functions of ``seed``, the row's id and the
+    ``value`` (its Gumbel value; samples come by falling value), ``log_inclusion``, the log of
+    the probability that it is among the first ``k``, given the next value (with fewer than
+    ``k`` + 1 segmentations in all it is 0), and ``exact``, whether the ids decode to the text. The values are functions of ``seed``, the row's id and the
     place in the text, so a row gets the same samples in any batch, order or retry.
     The vocabulary is read on the driver from ``model`` and sent to the tasks (32,000 pieces).
 
@@ -347,23 +360,24 @@ def encode(
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         found, following = Sampler(texts, [i or 0 for i in batch.column("doc_id").to_pylist()], vocabulary, seed).sample(k)
-        ids, rows, texts_at = [], ([], [], []), [0]
-        for each, threshold in zip(found, following, strict=True):
+        ids, rows, exact, texts_at = [], ([], [], []), [], [0]
+        for text, each, threshold in zip(texts, found, following, strict=True):
             for pieces, logp, value in each:
                 ids.append(with_bytes(pieces, vocabulary))
+                exact.append(vocabulary.decode(ids[-1].tolist()) == text)
                 for column, x in zip(rows, (logp, value, 0.0 if threshold is None else log_inclusion(logp, threshold)), strict=True):
                     column.append(x)
             texts_at.append(len(ids))
         lists = pa.ListArray.from_arrays(
             pa.array(np.append(0, np.cumsum([len(x) for x in ids])), pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32())
         )
-        fields = [lists, *(pa.array(c, pa.float64()) for c in rows)]
-        samples = pa.ListArray.from_arrays(pa.array(texts_at, pa.int32()), pa.StructArray.from_arrays(fields, ["ids", "log_prob", "value", "log_inclusion"]))
+        fields = [lists, *(pa.array(c, pa.float64()) for c in rows), pa.array(exact, pa.bool_())]
+        samples = pa.ListArray.from_arrays(pa.array(texts_at, pa.int32()), pa.StructArray.from_arrays(fields, ["ids", "log_prob", "value", "log_inclusion", "exact"]))
         yield {"doc_id": batch.column("doc_id"), "samples": samples}
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    schema = "doc_id long, samples array<struct<ids:array<int>,log_prob:double,value:double,log_inclusion:double>>"
-    return in_batches(rows, work, schema, max_bytes=2 << 20)
+    schema = "doc_id long, samples array<struct<ids:array<int>,log_prob:double,value:double,log_inclusion:double,exact:boolean>>"
+    return in_batches(rows, work, schema, max_bytes=1 << 19)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "text", model: str = MODEL) -> DataFrame:
