@@ -232,10 +232,10 @@ def links(fps: DataFrame, radius: int = 2, parts: tuple[int, ...] = (2, 3), dens
     index = fps.select("fp", F.explode(F.array(*(
         F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(plan.masks)
     ))).alias("x")).select("x.part", "x.key", F.col("fp").alias("other"))
-    asked = cut_lineage(probes(fps, plan))
     dense = cut_lineage(index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense_bucket).select("part", "key"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
     crowded = dense.count() > 0
+    asked = cut_lineage(probes(fps, plan)) if crowded else probes(fps, plan)
     sparse = asked.join(dense, ["part", "key"], "left_anti") if crowded else asked
     pairs = (
         sparse.join(index, ["part", "key"]).where(near & (F.col("fp") != F.col("other")))
@@ -279,5 +279,19 @@ def near_groups(
     return found.join(cut_lineage(naming), "fp").select("doc_id", "fp", "component_id")
 
 
+def drop_near(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, parts: tuple[int, ...] = (2, 3),
+    dense_bucket: int = DENSE_BUCKET,
+) -> DataFrame:
+    """``docs`` without the near copies: of each group the document with the least id stays.
+
+    Rows that repeat an id stay or go together, and stay if one of them stands for its group; rows
+    with a null id can't be named by a group and stay.
+    """
+    groups = near_groups(docs, id_col, text_col, words, radius, parts, dense_bucket)
+    gone = groups.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).where("NOT stays")
+    return docs.join(gone.select(F.col("doc_id").alias("gone id")), F.col(f"`{id_col}`") == F.col("gone id"), "left_anti")
+
+
 def hex_fingerprint(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -36,6 +36,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 INPUTS = 6
 # A word counts this often in one text at most, so that repetition isn't taken for spread.
 TIMES = 3
+# The score of every text where there are no labels to learn from.
+UNTAUGHT = 0.1
 
 
 def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -219,7 +221,7 @@ def learn(
         .withColumn("weight", weight).where("weight >= 1.5")
         .orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "clue").limit(max_clues).collect()
     )
-    model = Model({bytes(r["clue"]): r["weight"] for r in best}, decoder, np.zeros(INPUTS))
+    model = Model({bytes(r["clue"]): r["weight"] for r in best}, decoder, np.append(log(UNTAUGHT / (1 - UNTAUGHT)), np.zeros(INPUTS - 1)))
 
     def inputs(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"x": [model.inputs(t) for t in batch.column("text").to_pylist()], "label": batch.column("label")}
@@ -247,7 +249,7 @@ def score(
     model of the hits gives the score. Nothing is shuffled to score.
 
     Defined cases: null and empty texts are scored as texts without hits; without labels all
-    scores are 0.5, with one class only all are alike; null ids are scored and never train; rows
+    scores are 0.1, with one class only all are alike; null ids are scored and never train; rows
     come back as often as they went in; an empty table gives no rows; input columns live inside ``row``.
     """
     model = learn(docs, labels, id_col, text_col, label_col, folds, held_out_fold, max_labels, max_clues)
