@@ -21,6 +21,9 @@ LITERAL = "\udc81"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 # Units walked at a time, which bounds the memory of a walk whatever the length of a text.
 WALK = 1 << 13
+# Units walked with all branches before looking whether further branches can matter, and how far (in
+# log-probability) under the branches already kept they can't: the odds are exp(-DEEP), below rounding.
+BLOCK, DEEP = 96, 42.0
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -31,10 +34,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def uniform(x: np.ndarray) -> np.ndarray:
+    """A value between 0 and 1 for each number."""
+    return ((mix(x) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+
+
 def gumbel(x: np.ndarray) -> np.ndarray:
     """A Gumbel value for each number."""
-    u = ((mix(x) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
-    return -np.log(-np.log(u))
+    return -np.log(-np.log(uniform(x)))
 
 
 class Vocabulary:
@@ -122,6 +129,7 @@ class Lattices:
     length: np.ndarray  # characters of each edge
     piece: np.ndarray  # its piece, or -1 - code point for bytes
     chance: np.ndarray
+    up_to: np.ndarray  # probability of the edge and those of its start before it
 
     @classmethod
     def build(cls, units: list[str], vocabulary: Vocabulary) -> Lattices:
@@ -170,7 +178,12 @@ class Lattices:
             ways[where[heads[a:b]]] = top + np.log(np.add.reduceat(each, cuts))
         first, count = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
         first[where[heads]], count[where[heads]] = heads, np.diff(np.append(heads, len(where)))
-        return cls(start, end, first, count, length, piece, weight + ways[onto] - ways[where])
+        chance = weight + ways[onto] - ways[where]
+        up_to = np.exp(chance).cumsum()
+        if len(heads):
+            up_to -= np.repeat(np.append(0.0, up_to[heads[1:] - 1]), count[where[heads]])
+            up_to[np.append(heads[1:], len(where)) - 1] = 2.0  # so the last edge takes the rest
+        return cls(start, end, first, count, length, piece, chance, up_to)
 
 
 def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -210,55 +223,87 @@ class Sampler:
         base = np.array([k & (1 << 64) - 1 for k in keys], dtype=np.uint64)
         self.seeds = mix(base + mix(np.array([seed], dtype=np.uint64)))
 
-    def walk(self, who: np.ndarray, unit: np.ndarray, at: np.ndarray, logp: np.ndarray, value: np.ndarray, turn: int, keep: int) -> Walk:
-        """Go on for the texts ``who`` from character ``at`` (of the lattice) of their text unit ``unit``."""
-        lat = self.lattices
+    def walk(self, who: np.ndarray, unit: np.ndarray, at: np.ndarray, logp: np.ndarray, value: np.ndarray, turn: int, keep: int, floor: np.ndarray) -> Walk:
+        """Go on for the texts ``who`` from character ``at`` (of the lattice) of their text unit ``unit``.
+
+        Only the ``keep`` best branches over ``floor`` can matter. A branch is worth about the
+        log-probability of its place, which falls along a text; so once that lies DEEP under the
+        branches kept, the rest of the text is walked without drawing branches.
+        """
         out = Walk([[] for _ in who], [[] for _ in who], logp.copy(), [[] for _ in who])
-        last = self.first[who + 1]
-        every, owner = ranges(unit, last - unit), np.repeat(np.arange(len(who)), last - unit)
+        unit, at, last = unit.copy(), at.copy(), self.first[who + 1]
+        salt = np.uint64((turn + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+        open_, deep = np.arange(len(who)), []
+        while len(open_):
+            bar = np.array([max(floor[j], out.branches[j][keep - 1][0] if len(out.branches[j]) >= keep else -np.inf) for j in open_.tolist()])
+            low = out.logp[open_] < bar - DEEP
+            deep.append(open_[low])
+            open_ = open_[~low]
+            until = np.minimum(unit + BLOCK, last)
+            self.tread(out, open_, who, unit, until, at, value, salt, keep)
+            unit[open_] = until[open_]
+            open_ = open_[unit[open_] < last[open_]]
+            at[open_] = self.lattices.start[self.units[unit[open_]]]
+        self.tread(out, np.sort(np.concatenate(deep)) if deep else open_, who, unit, last, at, value, salt, 0)
+        return out
+
+    def tread(self, out: Walk, texts: np.ndarray, who: np.ndarray, unit: np.ndarray, until: np.ndarray, at: np.ndarray, value: np.ndarray, salt: np.uint64, keep: int) -> None:
+        """Walk ``texts`` (places in ``who``) from their ``unit`` to before ``until``; with ``keep``, draw all branches and keep so many."""
+        lat = self.lattices
+        many = until[texts] - unit[texts]
+        every, owner = ranges(unit[texts], many), np.repeat(texts, many)
+        if not len(every):
+            return
         begin = lat.start[self.units[every]]
-        opening = np.append(True, owner[1:] != owner[:-1])
+        opening = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         begin[opening] = at[owner[opening]]
-        salt = np.uint64((turn + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
         for a in range(0, len(every), WALK):
             inst, own, here = every[a : a + WALK], owner[a : a + WALK], begin[a : a + WALK].copy()
             done, gone = lat.end[self.units[inst]], np.zeros(len(inst))
             shift = self.offset[inst] - lat.start[self.units[inst]]
             within = shift - self.opening[who[own]]  # places in the text, so that values don't depend on the slice
+            seeds = self.seeds[who[own]] ^ salt
             steps, sides = [], []
             live = np.flatnonzero(here < done)
             while len(live):
                 spot = here[live]
-                count = lat.count[spot]
-                edges, head = ranges(lat.first[spot], count), count.cumsum() - count
-                many = np.repeat(live, count)
-                drawn = lat.chance[edges] + gumbel(
-                    (self.seeds[who[own[many]]] ^ salt) + FACTOR * ((np.repeat(spot, count) + within[many]) * 32 + lat.length[edges]).astype(np.uint64)
-                )
-                top = np.maximum.reduceat(drawn, head)
-                lost = drawn - np.repeat(top, count)
-                won = edges[lost == 0]
-                aside = np.flatnonzero((lost < 0) & np.isfinite(drawn))
-                sides.append((many[aside], edges[aside], drawn[aside], lost[aside], gone[many[aside]], np.repeat(spot, count)[aside]))
+                if keep:
+                    count = lat.count[spot]
+                    edges, head = ranges(lat.first[spot], count), count.cumsum() - count
+                    many = np.repeat(live, count)
+                    drawn = lat.chance[edges] + gumbel(seeds[many] + FACTOR * ((np.repeat(spot, count) + within[many]) * 32 + lat.length[edges]).astype(np.uint64))
+                    top = np.maximum.reduceat(drawn, head)
+                    lost = drawn - np.repeat(top, count)
+                    won = edges[lost == 0]
+                    aside = np.flatnonzero((lost < 0) & np.isfinite(drawn))
+                    sides.append((many[aside], edges[aside], drawn[aside], lost[aside], gone[many[aside]], np.repeat(spot, count)[aside]))
+                else:
+                    draw = uniform(seeds[live] + FACTOR * ((spot + within[live]) * 32 + 31).astype(np.uint64))
+                    won = lat.first[spot]
+                    less = np.flatnonzero(lat.up_to[won] < draw)
+                    while len(less):
+                        won[less] += 1
+                        less = less[lat.up_to[won[less]] < draw[less]]
                 steps.append((live, spot, lat.piece[won]))
                 gone[live] += lat.chance[won]
                 here[live] += lat.length[won]
                 live = live[here[live] < done[live]]
             # log-probability before each unit: what its text had, and the units in between
-            run = gone.cumsum() - gone
             heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            before = run - np.repeat(run[heads], np.diff(np.append(heads, len(own)))) + out.logp[own]
-            np.add.at(out.logp, own, gone)
+            if keep:
+                run = gone.cumsum() - gone
+                before = run - np.repeat(run[heads], np.diff(np.append(heads, len(own)))) + out.logp[own]
+            out.logp[own[heads]] += np.add.reduceat(gone, heads)
             which, spot, piece = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64),) * 3
             place = spot + shift[which]
-            order = np.argsort(place, kind="stable")
-            cut = np.searchsorted(own[which[order]], np.arange(len(who) + 1))
-            for t in np.unique(own).tolist():
-                out.place[t].append(place[order[cut[t] : cut[t + 1]]])
-                out.piece[t].append(piece[order[cut[t] : cut[t + 1]]])
+            order = np.argsort(which.astype(np.uint16), kind="stable")  # by unit; a unit's steps are in order already
+            place, piece = place[order], piece[order]
+            cut = np.append(np.searchsorted(which[order], heads), len(order))
+            for t, lo, hi in zip(own[heads].tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                out.place[t].append(place[lo:hi])
+                out.piece[t].append(piece[lo:hi])
             if keep and sides:
                 self.set_aside(out, keep, inst, own, before, shift, value, [np.concatenate(x) for x in zip(*sides, strict=True)])
-        return out
 
     def set_aside(self, out: Walk, keep: int, inst, own, before, shift, value, sides) -> None:
         """Keep the best branches of each text."""
@@ -297,7 +342,7 @@ class Sampler:
         begin = self.lattices.start[self.units[self.first[:-1]]] if n else np.zeros(0, np.int64)
         found: list[list[tuple]] = [[] for _ in range(n)]
         waiting: list[list[tuple]] = [[] for _ in range(n)]
-        walk = self.walk(who, self.first[:-1].copy(), begin, np.zeros(n), value, 0, k)
+        walk = self.walk(who, self.first[:-1].copy(), begin, np.zeros(n), value, 0, k, np.full(n, -np.inf))
         prefix = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * n
         for turn in range(1, k + 1):
             for j, t in enumerate(who.tolist()):
@@ -315,7 +360,8 @@ class Sampler:
                 prefix.append((np.append(place[:cut], spot), np.append(piece[:cut], edge)))
                 nexts.append((unit, after, logp, g))
             unit, after, logp, value = (np.array(x) for x in zip(*nexts, strict=True))
-            walk = self.walk(who, unit, after, logp, value, turn, k - turn)
+            floor = np.array([sorted((w[0] for w in waiting[t]), reverse=True)[k - turn - 1] if len(waiting[t]) >= k - turn else -np.inf for t in who.tolist()])
+            walk = self.walk(who, unit, after, logp, value, turn, k - turn, floor)
         return found, [max((b[0] for b in w), default=None) for w in waiting]
 
 
