@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundlake.llm import content_sort, forest, licenses, mixing, quality, sampling, secrets, simhash, toxicity
+from moundlake.llm import attention, content_sort, forest, licenses, mixing, quality, sampling, secrets, simhash, toxicity
 from moundlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("row.doc_id").alias("doc_id"), "held_out", "score", "predicted")
 
 
+@query("op9_attention_lm")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.score(table(spark, sf_dir, "documents"))
+
+
 @query("op10_exact_dedup", """
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
            doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
