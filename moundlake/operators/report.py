@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moundlake.functions.formats import percent_text
 from moundlake.runtime import bounded_broadcast
@@ -171,15 +172,31 @@ def top_heaps(heaps: DataFrame, measure: str, k: int) -> DataFrame:
     return heaps.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def stacked_volumes(heaps: DataFrame) -> DataFrame:
+    """Volume per survey and category, whatever the categories are, beside the survey's total; a missing category is "unclassified"."""
+    category = F.coalesce("material_category", F.lit("unclassified")).alias("category")
+    parts = heaps.groupBy("survey_id", category).agg(F.sum("volume_m3").alias("volume_m3"))
+    whole = Window.partitionBy("survey_id")  # a few rows, one a category
+    return parts.withColumn("total_m3", F.sum("volume_m3").over(whole))
+
+
 # ---- joins of records ----------------------------------------------------
 def enrich(edited: DataFrame, measured: DataFrame, fields: list[str]) -> DataFrame:
-    """Edited values win over measured ones; zero, empty and NULL fall through to the next."""
+    """Edited values win over measured ones; NULL and the type's empty value (0, "", false) fall through to the next."""
     other = measured.select("survey_id", "heap_id", *[F.col(f).alias(f"_m_{f}") for f in fields])
     joined = edited.join(other, ["survey_id", "heap_id"], "left")
 
     def pick(name: str) -> Column:
-        zero = F.lit(0.0)
-        return F.coalesce(F.nullif(F.col(name), zero), F.nullif(F.col(f"_m_{name}"), zero), zero).alias(name)
+        kind = edited.schema[name].dataType
+        if isinstance(kind, T.StringType):
+            none = F.lit("")
+        elif isinstance(kind, T.BooleanType):
+            none = F.lit(False)
+        elif isinstance(kind, T.NumericType):
+            none = F.lit(0).cast(kind)
+        else:  # dates, arrays and the like have no empty value
+            return F.coalesce(F.col(name), F.col(f"_m_{name}")).alias(name)
+        return F.coalesce(F.nullif(F.col(name), none), F.nullif(F.col(f"_m_{name}"), none), none).alias(name)
 
     keep = [c for c in edited.columns if c not in fields]
     return joined.select(*keep, *[pick(f) for f in fields])

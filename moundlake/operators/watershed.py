@@ -9,8 +9,6 @@ from moundlake.operators import neighbourhood as nb
 from moundlake.operators.graph import connected_components
 from moundlake.runtime import bounded_broadcast, cut_lineage
 
-MAX_ROUNDS = 40
-
 
 def peaks(labels: DataFrame, height: DataFrame, grids: DataFrame, distance: int = 10) -> DataFrame:
     """Peaks of every heap: cells that lead their (2d+1) x (2d+1) box within the heap.
@@ -104,7 +102,7 @@ def split_heaps(labels: DataFrame, height: DataFrame, grids: DataFrame, distance
             F.lit(None).cast("struct<v:double,n:bigint>").alias("level"),
         )
     )
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round joins basins, so it ends
         comps = state.select("survey_id", "basin", "comp")
         done = state.where("peak is not null").select("survey_id", "comp").distinct()
         passes = (
@@ -133,8 +131,6 @@ def split_heaps(labels: DataFrame, height: DataFrame, grids: DataFrame, distance
         ).withColumn("comp", F.coalesce("root", "comp")).drop("root")
         known = renamed.groupBy("survey_id", "comp").agg(F.min("peak").alias("peak"))
         state = cut_lineage(renamed.drop("peak").join(known, ["survey_id", "comp"]))
-    else:
-        raise RuntimeError("watershed basins did not settle")
     highest = labels.groupBy("survey_id").agg(F.max("heap_id").alias("_max"))
     per_heap = found.join(many, ["survey_id", "heap_id"], "left_semi").groupBy("survey_id", "heap_id").agg(
         F.count(F.lit(1)).alias("_n")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,18 @@ def session(app: str = "moundlake", master: str | None = None, **conf: str) -> S
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, so that workers can import it wherever they run."""
+    if any(name.endswith("moundlake.zip") for name in spark.sparkContext.listFiles):
+        return
+    home = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='moundlake-')}/moundlake", "zip", home.parent, home.name)
+    spark.sparkContext.addPyFile(archive)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

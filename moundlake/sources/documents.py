@@ -23,16 +23,32 @@ def parse_results(texts: DataFrame) -> DataFrame:
     return texts.select("survey_id", F.from_json("document", RESULTS_DOCUMENT).alias("d")).select("survey_id", "d.*")
 
 
+# JSON types that each type of setting accepts; null stands for the default.
+ACCEPTED = {
+    "double": "^(BIGINT|DOUBLE|DECIMAL.*|VOID)$", "integer": "^(BIGINT|VOID)$", "boolean": "^(BOOLEAN|VOID)$", "string": "^(STRING|VOID)$",
+}
+
+
 def parse_config(texts: DataFrame) -> DataFrame:
     """``(survey_id, config)`` text to typed settings with defaults.
 
     Unknown keys are ignored; empty text means all defaults; text that is not a
-    JSON object gives an error row.
+    JSON object, or a value of the wrong type, gives an error row that names the field.
     """
     blank = F.col("config").isNull() | (F.trim("config") == "")
     parsed = F.from_json(F.when(~blank, F.col("config")), CONFIG, {"mode": "PERMISSIVE"})
     valid = blank | (F.get_json_object("config", "$").isNotNull() & F.trim("config").startswith("{"))
-    rows = texts.withColumn("_p", parsed).withColumn("error", F.when(~valid, F.lit("invalid JSON configuration")))
+    given = F.try_parse_json("config")
+    wrong = F.array_compact(F.array(*[
+        F.when(~F.regexp_like(F.schema_of_variant(F.try_variant_get(given, f"$.{f.name}", "variant")), F.lit(ACCEPTED[f.dataType.typeName()])), F.lit(f.name))
+        for f in CONFIG.fields
+    ]))
+    rows = texts.withColumn("_p", parsed).withColumn(
+        "error",
+        F.when(~valid, F.lit("invalid JSON configuration")).when(
+            ~blank & (F.size(wrong) > 0), F.concat(F.lit("wrong type: "), F.array_join(wrong, ", "))
+        ),
+    )
     fields = [
         F.when(
             F.col("error").isNull(),

@@ -16,7 +16,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from moundlake.schema import POINTS
 
 RECORDS_PER_SPLIT = 1_000_000
-PROBE_RECORDS = 100_000
 POINT_COLUMNS = ["survey_id", "x", "y", "z", "classification"]
 
 
@@ -63,12 +62,13 @@ def crs_compatible(a: Column, b: Column) -> Column:
     return F.coalesce((a != "") & (b != "") & (a == b), F.lit(False))
 
 
-def ground_probe(points: DataFrame, index: str, records: int = PROBE_RECORDS) -> DataFrame:
-    """Whether ground points occur among the first records of each file.
+def ground_probe(points: DataFrame, index: str | None = None, records: int | None = None) -> DataFrame:
+    """Whether ground points occur, over all points; or among the first ``records`` of each file.
 
     ``index`` is the record number within the file (LAS source or Parquet row index).
     """
-    return points.where(F.col(index) < records).groupBy("survey_id").agg(
+    probed = points if records is None else points.where(F.col(index) < records)
+    return probed.groupBy("survey_id").agg(
         F.bool_or(F.col("classification") == 2).alias("has_ground"),
         F.count_if(F.col("classification") == 2).alias("ground_points"),
         F.count(F.lit(1)).alias("probed"),

@@ -14,6 +14,7 @@ SITE_ORDERS = 150_000
 WEST, SOUTH = 500000.0, 5000000.0
 UNITS = 4000          # 5 cm units along each side of the 200 m site
 UNIT = 0.05
+CELL_UNITS = 40  # cells of 2 m, whatever the number of points
 BASE = 100.0
 CRS = "EPSG:32632"
 
@@ -87,13 +88,13 @@ def points(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
 
 
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid geometry per survey; the cell size follows the number of points."""
+    """Grid geometry per survey, with cells of CELL_UNITS."""
     counted = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.expr(f"1 + l_orderkey % 2 + 2 * (l_orderkey div {SITE_ORDERS})").alias("survey_id"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    units = F.when(F.col("n") < 10000, 80).when(F.col("n") < 100000, 40).otherwise(20)
+    units = F.lit(CELL_UNITS)
     side = (F.lit(UNITS) / units).cast("int")
     return counted.select(
         "survey_id",

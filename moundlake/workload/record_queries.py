@@ -306,17 +306,12 @@ def win_13(spark, d):
 
 
 @register("SPC-03", query("""
-SELECT survey_id, coalesce(round(sum(volume_m3) FILTER (material_category = 'sabbia'), 3), 0) AS sabbia, coalesce(round(sum(volume_m3) FILTER (material_category = 'ghiaia'), 3), 0) AS ghiaia,
-  coalesce(round(sum(volume_m3) FILTER (material_category IS NULL), 3), 0) AS unclassified, round(sum(volume_m3), 3) AS total FROM heaps GROUP BY 1""", "heaps"))
+SELECT survey_id, category, round(volume_m3, 3) AS volume_m3, round(sum(volume_m3) OVER (PARTITION BY survey_id), 3) AS total_m3
+FROM (SELECT survey_id, coalesce(material_category, 'unclassified') AS category, sum(volume_m3) AS volume_m3 FROM heaps GROUP BY ALL)""", "heaps"))
 def spc_03(spark, d):
-    """Total volume per survey stacked by category."""
-    heaps = heap_records(spark, d).withColumn("cat", F.coalesce("material_category", F.lit("unclassified")))
-    listed = ["sabbia", "ghiaia", "argilla", "scorie", "carbone", "unclassified"]
-    stacked = heaps.groupBy("survey_id").pivot("cat", listed).agg(F.sum("volume_m3")).na.fill(0.0)
-    total = sum((F.col(c) for c in listed[1:]), F.col(listed[0]))
-    return stacked.select(
-        "survey_id", *[F.round(c, 3).alias(c) for c in ("sabbia", "ghiaia", "unclassified")], F.round(total, 3).alias("total")
-    )
+    """Volumes of each survey stacked by category."""
+    stacked = report.stacked_volumes(heap_records(spark, d))
+    return stacked.select("survey_id", "category", *[F.round(c, 3).alias(c) for c in ("volume_m3", "total_m3")])
 
 
 @register("SPC-05", query("""
@@ -575,19 +570,22 @@ def src_11(spark, d):
 
 
 @register("SRC-15", """
-SELECT o_orderkey AS survey_id, CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 4 = 0 THEN 0.5e0 ELSE (o_orderkey % 9)/10e0 END AS height_threshold,
-  CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 4 = 1 THEN 25 ELSE 50 END AS morpho_kernel_size,
-  CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE true END AS use_ground_classification,
-  CASE WHEN o_orderkey % 4 = 3 THEN 'invalid JSON configuration' END AS error FROM orders""")
+SELECT o_orderkey AS survey_id, CASE WHEN o_orderkey % 6 >= 3 THEN NULL WHEN o_orderkey % 6 = 0 THEN 0.5e0 ELSE (o_orderkey % 9)/10e0 END AS height_threshold,
+  CASE WHEN o_orderkey % 6 >= 3 THEN NULL WHEN o_orderkey % 6 = 1 THEN 25 ELSE 50 END AS morpho_kernel_size,
+  CASE WHEN o_orderkey % 6 >= 3 THEN NULL ELSE true END AS use_ground_classification,
+  CASE o_orderkey % 6 WHEN 3 THEN 'invalid JSON configuration' WHEN 4 THEN 'wrong type: height_threshold' WHEN 5 THEN 'wrong type: morpho_kernel_size' END AS error
+FROM orders""")
 def src_15(spark, d):
-    """Inline configurations: empty, partial, with unknown keys, broken."""
-    k = F.col("o_orderkey") % 4
+    """Inline configurations: empty, partial, with unknown keys, broken, of wrong types."""
+    k = F.col("o_orderkey") % 6
     t = F.format_string("%.1f", (F.col("o_orderkey") % 9) / 10.0)
     text = (
         F.when(k == 0, F.lit(""))
         .when(k == 1, F.concat(F.lit('{"height_threshold": '), t, F.lit(', "morpho_kernel_size": 25}')))
         .when(k == 2, F.concat(F.lit('{"height_threshold": '), t, F.lit(', "base_mode": "auto"}')))
-        .otherwise(F.lit('{"height_threshold": '))
+        .when(k == 3, F.lit('{"height_threshold": '))
+        .when(k == 4, F.concat(F.lit('{"height_threshold": "'), t, F.lit('"}')))
+        .otherwise(F.lit('{"morpho_kernel_size": 2.5, "height_threshold": 1}'))
     )
     return sd.parse_config(table(spark, d, "orders").select(F.col("o_orderkey").alias("survey_id"), text.alias("config"))).select(
         "survey_id", "height_threshold", "morpho_kernel_size", "use_ground_classification", "error"

@@ -62,7 +62,7 @@ FROM (
 step("grid", ("pts",), """
 SELECT survey_id, units, units*0.05e0 AS res, CAST(4000 // units AS INT) AS w, CAST(4000 // units AS INT) AS h,
   500000e0 AS west, 5000200e0 AS north
-FROM (SELECT survey_id, CASE WHEN count(*) < 10000 THEN 80 WHEN count(*) < 100000 THEN 40 ELSE 20 END AS units
+FROM (SELECT survey_id, 40 AS units
       FROM pts GROUP BY 1)
 """)
 step("binned", ("pts", "grid"), """

@@ -228,3 +228,24 @@ def test_config_defaults_and_errors(spark):
 def test_an_empty_export_is_an_error(spark):
     with pytest.raises(ValueError):
         report.guard_not_empty(report.exportable(heap_rows(spark).where("heap_id = 3")), "no heap to export")
+
+
+def test_config_of_wrong_types_gives_error_rows(spark):
+    from moundlake.sources.documents import parse_config
+
+    texts = ['{"height_threshold": "abc"}', '{"morpho_kernel_size": 2.5}', '{"height_threshold": 1, "use_ground_classification": "yes"}', '{"height_threshold": null}', "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "survey_id long, config string")
+    got = {r["survey_id"]: r for r in parse_config(df).collect()}
+    assert [got[i]["error"] for i in range(6)] == [
+        "wrong type: height_threshold", "wrong type: morpho_kernel_size", "wrong type: use_ground_classification", None, None, None]
+    assert got[0]["height_threshold"] is None and got[3]["height_threshold"] == 0.5
+
+
+def test_enrich_falls_through_by_type(spark):
+    from moundlake.operators.report import enrich
+
+    kind = "survey_id long, heap_id long, label string, volume_m3 double, n int, ok boolean"
+    edited = spark.createDataFrame([(1, 1, "", 0.0, 0, False), (1, 2, "a", 2.0, None, None)], kind)
+    measured = spark.createDataFrame([(1, 1, "m", 1.0, 5, True), (1, 2, "b", 3.0, 6, None)], kind)
+    rows = {r["heap_id"]: tuple(r)[2:] for r in enrich(edited, measured, ["label", "volume_m3", "n", "ok"]).collect()}
+    assert rows == {1: ("m", 1.0, 5, True), 2: ("a", 2.0, 6, False)}

@@ -170,11 +170,17 @@ def test_coverage_gate_and_fallback_to_automatic(spark):
     assert (arrays[0] == 100).all() and (arrays[1] == 100).all()
 
 
-def test_opening_plan_clamps():
-    assert surface.opening_plan(1.0, 50, 50, 150.0) == (1, 16)
-    assert surface.opening_plan(1.0, 200, 200, 150.0) == (1, 150)
-    assert surface.opening_plan(1.0, 200, 140, 150.0) == (1, 139)
-    assert surface.opening_plan(0.1, 2000, 2000, 150.0) == (5, 300)
+def test_opening_scale_depends_on_the_cell_size_only(spark):
+    g = spark.createDataFrame([(1.0,), (0.5,), (0.25,), (0.1,), (2.0,)], "res double")
+    got = g.select("res", *surface.opening_scale(g.res, 150.0)).collect()
+    assert sorted(map(tuple, got)) == [(0.1, 5, 300), (0.25, 2, 300), (0.5, 1, 300), (1.0, 1, 150), (2.0, 1, 75)]
+
+
+def test_opening_wider_than_the_raster_is_its_lowest_value(spark):
+    a = np.arange(30.0).reshape(5, 6) + 100
+    cells, g = grid_frame(spark, [a])
+    out = to_arrays(surface.large_opening(cells, g, 50.0), "v", [a.shape])
+    assert (out[0] == 100).all()
 
 
 def test_large_opening_over_mixed_geometries(spark):
