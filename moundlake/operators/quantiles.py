@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MICRON = 6  # decimals kept in every height raster
@@ -85,3 +85,17 @@ def group_percentile(
         .agg(at("_lo").alias("_vl"), at("_hi").alias("_vh"), F.max("_frac").alias("_frac"))
         .select(*keys, F.round(F.col("_vl") + (F.col("_vh") - F.col("_vl")) * F.col("_frac"), MICRON).alias(out))
     )
+
+
+def exact_mean(height: Column, counted: Column) -> Column:
+    """Mean of the counted heights, rounded half up to a whole micrometre; 0 when none is counted.
+
+    Heights lie on the micrometre grid, so their sum is a whole number and the mean depends on
+    neither the order of the sum nor on binary fractions.
+    """
+    total = F.sum(F.when(counted, F.round(height * 1e6)).otherwise(0).cast("long"))
+    n = F.count_if(counted)
+    twice = total * 2 + n
+    # n is 1 at least in the division, so that an empty group doesn't fail
+    whole = (twice - F.pmod(twice, F.greatest(n * 2, F.lit(1)))) / F.greatest(n * 2, F.lit(1))
+    return F.when(n > 0, whole / 1e6).otherwise(F.lit(0.0))

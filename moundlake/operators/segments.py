@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from moundlake.operators import neighbourhood as nb
 from moundlake.operators.graph import connected_components
+from moundlake.operators.quantiles import exact_mean
 from moundlake.runtime import bounded_broadcast, cut_lineage
 
 BAND_CELLS = 2_000_000   # cells of one row band handed to one task
@@ -155,7 +156,7 @@ def component_statistics(labels: DataFrame, height: DataFrame, grids: DataFrame)
     joined = flagged.join(height, ["survey_id", "r", "c"]).withColumn("h", F.coalesce("v", F.lit(0.0)))
     stats = joined.groupBy("survey_id", "heap_id").agg(
         F.count(F.lit(1)).alias("cells"),
-        F.avg("h").alias("height_mean"),
+        exact_mean(F.col("h"), F.lit(True)).alias("height_mean"),
         F.stddev_pop("h").alias("height_std"),
         F.max("h").alias("height_max"),
         F.count_if("is_boundary").alias("boundary_cells"),

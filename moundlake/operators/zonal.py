@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moundlake.functions import cells as cx
 from moundlake.operators import neighbourhood as nb
-from moundlake.operators.quantiles import MICRON
+from moundlake.operators.quantiles import MICRON, exact_mean
 from moundlake.runtime import bounded_broadcast
 
 
@@ -52,6 +52,7 @@ def heap_metrics(
     agg = zones.join(sloped, ["survey_id", "r", "c"]).groupBy(*keys).agg(
         F.sum(weight).alias("_w"),
         F.count_if(above).alias("_n"),
+        exact_mean(F.col("v"), above).alias("_mean"),
         F.max("v").alias("max_height_m"),
         F.sum(F.when(above, F.col("surface")).otherwise(F.lit(0.0))).alias("surface_area_m2"),
         # offsets from the grid corner keep the weighted sums small and exact
@@ -74,7 +75,7 @@ def heap_metrics(
         (n * res * res).alias("planimetric_area_m2"),
         "surface_area_m2",
         "max_height_m",
-        F.when(n > 0, w / n).otherwise(F.lit(0.0)).alias("mean_height_m"),
+        F.col("_mean").alias("mean_height_m"),
         centroid(F.col("_we"), F.col("_me"), lambda v: F.col("west") + v).alias("centroid_e"),
         centroid(F.col("_wn"), F.col("_mn"), lambda v: F.col("north") - v).alias("centroid_n"),
         (F.col("west") + F.col("_c1") * res).alias("bbox_min_e"),

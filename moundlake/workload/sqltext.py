@@ -167,7 +167,7 @@ SELECT survey_id, heap_id, cells, boundary_cells, cells*res*res AS area_m2,
   CASE WHEN boundary_cells > 0 THEN least(1e0, 4e0*pi()*cells*res*res / ((boundary_cells*res)*(boundary_cells*res))) ELSE 0e0 END AS compactness,
   height_mean, height_std, height_max
 FROM (SELECT survey_id, heap_id, count(*) AS cells, count(*) FILTER (is_boundary) AS boundary_cells,
-        avg(v) AS height_mean, stddev_pop(v) AS height_std, max(v) AS height_max
+        ((2*sum(round(v*1e6)::BIGINT) + count(*)) // (2*count(*)))/1e6 AS height_mean, stddev_pop(v) AS height_std, max(v) AS height_max
       FROM edge_cells JOIN ndsm USING (survey_id, r, c) GROUP BY 1, 2) JOIN grid USING (survey_id)
 """)
 step("classed", ("stats",), """
@@ -197,7 +197,7 @@ SELECT {keys}, round(sum(w)*any_value(res)*any_value(res), 6) AS volume_m3,
   round(count(*) FILTER (v > 0.5e0)*any_value(res)*any_value(res), 4) AS planimetric_area_m2,
   round(sum(CASE WHEN v > 0.5e0 THEN res*res*sqrt(1e0 + gx*gx + gy*gy) ELSE 0e0 END), 6) AS surface_area_m2,
   max(v) AS max_height_m,
-  round(CASE WHEN count(*) FILTER (v > 0.5e0) > 0 THEN sum(w)/count(*) FILTER (v > 0.5e0) ELSE 0e0 END, 6) AS mean_height_m,
+  round(CASE WHEN count(*) FILTER (v > 0.5e0) > 0 THEN ((2*sum(round(w*1e6)::BIGINT) + count(*) FILTER (v > 0.5e0)) // (2*count(*) FILTER (v > 0.5e0)))/1e6 ELSE 0e0 END, 6) AS mean_height_m,
   round(CASE WHEN sum(w) > 0 THEN sum(w*(west + (c + 0.5e0)*res))/sum(w) ELSE {empty} END, 3) AS centroid_e,
   round(CASE WHEN sum(w) > 0 THEN sum(w*(north - (r + 0.5e0)*res))/sum(w) ELSE {empty} END, 3) AS centroid_n,
   any_value(west) + min(c)*any_value(res) AS bbox_min_e, any_value(north) - (max(r) + 1)*any_value(res) AS bbox_min_n,

@@ -1,24 +1,15 @@
-"""Registered queries against their DuckDB text, on the smallest tables.
-
-The slower ones run only with MOUNDLAKE_ALL=1 (tools/check.py runs all of them).
-"""
-
-import os
+"""Registered queries against their DuckDB text, on the smallest tables."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from moundlake.workload import catalogue
 from tools.check import TABLES, canonical
 
-# means over 40 cells fall on rounding ties at this scale; they are checked on the next one
-TIES = {"AGG-08", "AGG-12", "AGG-16", "GEO-16", "JON-10", "process"}
-SLOW = {
-    "GEO-02", "GEO-09", "GEO-10", "SET-02", "JON-05", "AGG-23", "SPC-04", "SPC-02", "JON-04", "PRJ-19", "GEO-15",
-    "GEO-11", "WIN-07", "SRC-09", "SCL-08", "AGG-18", "AGG-17", "SET-03", "GEO-01",
-}
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-EVERYTHING = bool(os.environ.get("MOUNDLAKE_ALL"))
+# those of the language-model subpackage are tested beside it
+LOCAL = [n for n in ORACLES if n in catalogue.queries()]
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +21,7 @@ def tables(sf_dir):
     con.close()
 
 
-@pytest.mark.parametrize("name", [n for n in ORACLES if n not in TIES and (EVERYTHING or n not in SLOW)])
+@pytest.mark.parametrize("name", LOCAL)
 def test_query_equals_sql(spark, sf_dir, tables, name):
     df = QUERIES[name](spark, sf_dir)
     got = [r.asDict(recursive=True) for r in df.collect()]
