@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moundlake.functions.rings import polygon_bounds
@@ -156,8 +156,9 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, block: float = 16
     """Exact point membership: (point columns, poly_id), by crossings to the left of each point.
 
     Edges are spread over square blocks: their own rows of blocks, from their left
-    end to the right end of their polygon. A point meets only the edges of its
-    block, and the parity of its crossings per polygon decides.
+    end to the right end of their polygon. A point meets the edges of its block as one
+    array, as long as the outlines in 16 m are, and the parity of its crossings per polygon decides
+    within the row; so points are shuffled once and need no identifiers.
     """
     right = polygons.select("survey_id", "poly_id", polygon_bounds(F.col("rings"))["max_x"].alias("_right"))
     edges = polygon_edges(polygons).where("y1 <> y2").join(right, ["survey_id", "poly_id"])
@@ -165,21 +166,23 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, block: float = 16
     spread = edges.withColumn("_by", blocks(F.least("y1", "y2"), F.greatest("y1", "y2"))).withColumn(
         "_bx", blocks(F.least("x1", "x2"), F.col("_right"))
     )
+    by_block = spread.groupBy("survey_id", "_bx", "_by").agg(
+        F.collect_list(F.struct("poly_id", "x1", "y1", "x2", "y2")).alias("_edges")
+    )
     placed = points.select(
         "survey_id", F.struct(*points.columns).alias("_point"), "x", "y",
         F.floor(F.col("x") / block).alias("_bx"), F.floor(F.col("y") / block).alias("_by"),
-        F.monotonically_increasing_id().alias("_id"),
     )
-    crossing = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    hit = ((F.col("y1") <= F.col("y")) != (F.col("y2") <= F.col("y"))) & (crossing <= F.col("x"))
-    return (
-        placed.join(spread, ["survey_id", "_bx", "_by"])
-        .where(hit)
-        .groupBy("_id", "poly_id")
-        .agg(F.count(F.lit(1)).alias("_k"), F.first("_point").alias("_point"))
-        .where("_k % 2 = 1")
-        .select("_point.*", "poly_id")
+
+    def crossed(e: Column) -> Column:
+        at = e.x1 + (F.col("y") - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1)
+        return ((e.y1 <= F.col("y")) != (e.y2 <= F.col("y"))) & (at <= F.col("x"))
+
+    hits = placed.join(by_block, ["survey_id", "_bx", "_by"]).select(
+        "_point", F.transform(F.filter("_edges", crossed), lambda e: e.poly_id).alias("_hits")
     )
+    odd = F.filter(F.array_distinct("_hits"), lambda p: F.size(F.filter("_hits", lambda h: h == p)) % 2 == 1)
+    return hits.select("_point", F.explode(odd).alias("poly_id")).select("_point.*", "poly_id")
 
 
 def points_in_heaps(binned_points: DataFrame, labels: DataFrame) -> DataFrame:

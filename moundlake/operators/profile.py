@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moundlake.operators.surface import sample_bilinear
+from moundlake.operators.surface import sample_rasters
 from moundlake.runtime import bounded_broadcast
 
 
@@ -85,17 +85,7 @@ def profiles(lines: DataFrame, surface: DataFrame, terrain: DataFrame, grids: Da
         .withColumn("col", (F.col("x") - F.col("west")) / F.col("res"))
         .drop("west", "north", "res")
     )
-    both = surface.select("survey_id", "r", "c", F.col("v").alias("dsm_z")).join(
-        terrain.select("survey_id", "r", "c", F.col("v").alias("dtm_z")), ["survey_id", "r", "c"], "left"
-    )
-    keys = samples.select("survey_id", "sample_id", "row", "col")
-    dsm = sample_bilinear(keys, both, grids, "dsm_z").select("survey_id", "sample_id", "dsm_z")
-    dtm = sample_bilinear(keys, both, grids, "dtm_z").select("survey_id", "sample_id", "dtm_z")
-    return (
-        samples.drop("row", "col").join(dsm, ["survey_id", "sample_id"], "left")
-        .join(dtm, ["survey_id", "sample_id"], "left")
-        .drop("sample_id")
-    )
+    return sample_rasters(samples, {"dsm_z": surface, "dtm_z": terrain}, grids).drop("row", "col", "sample_id")
 
 
 def section_summary(profile: DataFrame, compat_nan_as_zero: bool = False) -> DataFrame:

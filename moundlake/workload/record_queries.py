@@ -15,6 +15,7 @@ from moundlake.sources import folders as sf
 from moundlake.sources import messages as sm
 from moundlake.sources import points as sp
 from moundlake.streaming import jobs
+from moundlake.runtime import bounded_broadcast
 from moundlake.workload import adapter, stages
 from moundlake.workload.adapter import heap_records, projects, surveys, table
 from moundlake.workload.registry import register
@@ -38,7 +39,7 @@ SELECT n_nationkey AS survey_id, n_regionkey AS project_id, CAST(DATE '2025-01-0
 
 def dated(spark, d):
     """Heap records with the date of their survey."""
-    return heap_records(spark, d).join(F.broadcast(surveys(spark, d).select("survey_id", "survey_date")), "survey_id")
+    return heap_records(spark, d).join(bounded_broadcast(surveys(spark, d).select("survey_id", "survey_date")), "survey_id")
 
 
 # ---- filters and predicates ----------------------------------------------
@@ -190,7 +191,7 @@ def jon_08(spark, d):
 SELECT heap_id, CASE material_category WHEN 'sabbia' THEN '#ef4444' WHEN 'ghiaia' THEN '#f97316' WHEN 'argilla' THEN '#f59e0b'
   WHEN 'scorie' THEN '#eab308' WHEN 'carbone' THEN '#84cc16' ELSE '#6b7280' END AS colour FROM heaps""", "heaps"))
 def jon_11(spark, d):
-    heaps = heap_records(spark, d).join(F.broadcast(surveys(spark, d).select("survey_id", "project_id")), "survey_id")
+    heaps = heap_records(spark, d).join(bounded_broadcast(surveys(spark, d).select("survey_id", "project_id")), "survey_id")
     return formats.category_colours(heaps, projects(spark, d)).select("heap_id", "colour")
 
 
@@ -386,7 +387,7 @@ def win_10(spark, d):
     parts = heaps.select("*", members.alias("members"), F.explode(F.sequence(F.lit(1), members)).alias("part"))
     merged = report.merged_labels(heaps.select("heap_id", members.alias("members"))).select("heap_id", F.col("label").alias("merged_label"))
     return report.part_labels(parts).drop("members").join(
-        F.broadcast(report.next_labels(heaps).select("survey_id", "next_label")), "survey_id"
+        bounded_broadcast(report.next_labels(heaps).select("survey_id", "next_label")), "survey_id"
     ).join(merged, "heap_id")
 
 
