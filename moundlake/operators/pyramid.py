@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moundlake.runtime import bounded_broadcast
+from moundlake.runtime import bounded_broadcast, broadcast_aggregate
 
 TILE = 256
 
@@ -70,7 +70,7 @@ def height_map(height: DataFrame, threshold: float = 0.5) -> DataFrame:
     value = F.coalesce("v", F.lit(0.0))
     peaks = height.where(value >= threshold).groupBy("survey_id").agg(F.max("v").alias("_top"))
     top = F.when(F.col("_top") > threshold, F.col("_top")).otherwise(F.lit(threshold + 1.0))
-    return height.join(bounded_broadcast(peaks), "survey_id", "left").select(
+    return height.join(broadcast_aggregate(peaks), "survey_id", "left").select(
         "survey_id", "r", "c",
         F.when(
             F.col("_top").isNotNull(),
@@ -85,6 +85,6 @@ def elevation_ramp(points: DataFrame, bases: DataFrame) -> DataFrame:
     ranges = points.groupBy("survey_id").agg(F.min("z").alias("_lo"), F.max("z").alias("_hi"))
     known = ranges.join(bases, "survey_id", "left").withColumn("_lo", F.coalesce("base", "_lo")).drop("base")
     span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(0.01))
-    return points.join(bounded_broadcast(known), "survey_id").withColumn(
+    return points.join(broadcast_aggregate(known), "survey_id").withColumn(
         "t", (F.col("z") - F.col("_lo")) / span
     ).drop("_lo", "_hi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moundlake.functions.formats import percent_text
-from moundlake.runtime import bounded_broadcast
+from moundlake.runtime import bounded_broadcast, broadcast_aggregate, cut_lineage
 
 
 # ---- filters -------------------------------------------------------------
@@ -108,6 +108,7 @@ def volume_histogram(heaps: DataFrame, keys: list[str]) -> DataFrame:
     ranges = ranges.withColumn("lo2", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo"))).withColumn(
         "hi2", F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi"))
     )
+    ranges = cut_lineage(ranges)
     small = bounded_broadcast(ranges)
     width = (F.col("hi2") - F.col("lo2")) / F.col("bins")
     counted = positive.join(small, keys).select(
@@ -145,7 +146,7 @@ def run_checks(heaps: DataFrame, site_area: DataFrame) -> DataFrame:
 def shares(heaps: DataFrame, keys: list[str]) -> DataFrame:
     """Each heap's share of its survey's volume, from totals joined back (no survey-wide window)."""
     totals = heaps.groupBy(*keys).agg(F.sum("volume_m3").alias("_total"))
-    return heaps.join(bounded_broadcast(totals), keys).withColumn(
+    return heaps.join(broadcast_aggregate(totals), keys).withColumn(
         "volume_share", F.when(F.col("_total") > 0, F.round(F.col("volume_m3") / F.col("_total"), 9))
     ).drop("_total")
 

@@ -77,6 +77,11 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return df
 
 
+def broadcast_aggregate(df: DataFrame) -> DataFrame:
+    """``bounded_broadcast`` of an aggregate over a big input: written out once, then counted and joined from there."""
+    return bounded_broadcast(cut_lineage(df))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows evenly over the shuffle partitions before heavy per-row work.
 

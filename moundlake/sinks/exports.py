@@ -151,7 +151,7 @@ def bulk_insert(metrics: DataFrame) -> DataFrame:
 
 
 def replace_surveys(fresh: DataFrame, path: str) -> None:
-    """Atomic replacement of whole surveys in a partitioned table."""
+    """Replacement of whole surveys in a partitioned table, each survey's folder at a time; readers may see some replaced before others."""
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("survey_id").parquet(path)
 
 
