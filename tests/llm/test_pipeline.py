@@ -1,11 +1,12 @@
 """The mixing operator's small cases and the pipeline, stage by stage."""
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline
-from moundlake.llm import mixing
+from moundlake.llm import mixing, similar
 
 
 def mixed(spark, rows, **how):
@@ -78,3 +79,41 @@ def test_stages_on_odd_rows(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf)
         assert (docs.count() > 0) == bool(data)
+
+
+def test_near_copies_are_all_found_and_verified(spark):
+    """Planted pairs around every similarity and a hot group, against brute force over whole texts."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    texts = []
+    for changes in [1, 2, 3, 4, 5, 6, 7, 8] * 6:  # each change of 200 words costs up to five shingles
+        one = [word() for _ in range(200)]
+        other = list(one)
+        for at in rng.sample(range(200), changes):
+            other[at] = word()
+        texts += [one, other]
+    stem = [word() for _ in range(120)]
+    for _ in range(90):  # more than one hub reaches
+        copy = list(stem)
+        for at in rng.sample(range(120), 2):
+            copy[at] = word()
+        texts.append(copy)
+    texts += [passage + [word() for _ in range(60)] for _ in range(80)]
+    texts = [" ".join(t) for t in texts] + ["", "one two", "One  two\n", "one two three"]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    group = list(range(len(texts)))
+    similar_by = Counter()
+    for b in range(len(texts)):
+        for a in range(b):
+            share = len(sets[a] & sets[b]) / max(len(sets[a] | sets[b]), 1)
+            if share >= 0.8:
+                similar_by[int(share * 20)] += 1
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    assert all(similar_by[k] for k in (16, 17, 18, 19))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = {r["doc_id"]: r["component_id"] for r in similar.near_groups(docs, dense=20).collect()}
+    assert found == dict(enumerate(group))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == set(group)
