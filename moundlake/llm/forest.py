@@ -59,17 +59,33 @@ class Forest:
             high[t] = np.searchsorted(self.keys[t], first[t] + (1 << shift))
         return low, high
 
-    def candidates(self, queries: np.ndarray, wanted: int):
+    def others(self, low: np.ndarray, high: np.ndarray, own: int) -> int:
+        """Distinct rows in the ranges of one query, without its own."""
+        found = np.unique(np.concatenate([self.order[t, low[t] : high[t]] for t in range(self.trees)]))
+        return len(found) - int(own in found)
+
+    def candidates(self, queries: np.ndarray, wanted: int, least: int = 0, own: np.ndarray | None = None):
         """Yield the candidate rows of each query.
 
         All trees are descended to the longest match, then ascended together, a bit at a time,
-        until their ranges hold ``wanted`` entries (a row counts once a tree).
+        until their ranges hold ``wanted`` entries (a row counts once a tree) and ``least`` distinct
+        rows, both without the query's own row (``own``, -1 for none), or all rows.
         """
+        own = np.full(len(queries), -1) if own is None else own
         keys = self.hashes(np.column_stack([queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros(len(queries))]))
         depth = self.longest_prefix(keys)
         low, high = self.ranges(keys, depth)
         open_ = np.arange(len(queries))
-        while len(open_ := open_[((high - low).sum(axis=0)[open_] < wanted) & (depth[open_] > 0)]):
+        while True:
+            entries = (high - low).sum(axis=0)[open_] - self.trees * (own[open_] >= 0)
+            short = entries < wanted
+            # more entries than least - 1 rows can have need no count
+            for j in np.flatnonzero(~short & (entries <= self.trees * (least - 1))):
+                q = open_[j]
+                short[j] = self.others(low[:, q], high[:, q], own[q]) < least
+            open_ = open_[short & (depth[open_] > 0)]
+            if not len(open_):
+                break
             depth[open_] -= 1
             low[:, open_], high[:, open_] = self.ranges(keys[:, open_], depth[open_])
         for q in range(len(queries)):
@@ -105,7 +121,7 @@ def nearest(
     a shard is searched by blocks of queries, so every row is indexed, a task holds one shard and
     one block, and the work grows with shards times blocks. In a shard the trees are
     ascended until their ranges hold ``candidates`` times its rows (counted with repeats
-    over ``trees`` trees); candidates are scored on the original vectors and the best of all
+    over ``trees`` trees) and k + 1 distinct rows, both besides the query's own, or all rows; candidates are scored on the original vectors and the best of all
     shards are merged.
 
     Defined cases: vectors that are null, empty, zero or hold null or non-finite components
@@ -133,7 +149,10 @@ def nearest(
             base, ask = matrix(left.column("vec"), dim), matrix(right.column("vec"), dim)
             ids = left.column("ids").to_pylist()
             forest = Forest(base, trees, bits, seed)
-            for q, found in zip(zip(right.column("vec_id").to_pylist(), ask, strict=True), forest.candidates(ask, int(candidates * len(base))), strict=True):
+            at = {v.tobytes(): i for i, v in enumerate(base)}
+            own = np.array([at.get(v.tobytes(), -1) for v in ask])
+            each = forest.candidates(ask, int(candidates * len(base)), k + 1, own)
+            for q, found in zip(zip(right.column("vec_id").to_pylist(), ask, strict=True), each, strict=True):
                 query_id, vector = q
                 scores = np.einsum("ij,j->i", base[found], vector)
                 if len(found) > k + 1:

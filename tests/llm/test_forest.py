@@ -62,3 +62,16 @@ def test_longest_prefix_and_ascent():
         assert (np.diff(f.keys[t]) >= 0).all()
     few, many = ([len(c) for c in f.candidates(points[:20], n)] for n in (10, 200))
     assert all(a <= b for a, b in zip(few, many, strict=True))
+
+
+def test_small_groups_find_all_their_neighbours(spark):
+    """Unit vectors in shards of few rows, with the parameters of the query."""
+    rng = np.random.default_rng(8)
+    unit = lambda d: (lambda v: (v / np.linalg.norm(v)).tolist())(rng.normal(size=d))
+    rows = [(i, unit(8)) for i in range(15)] + [(100 + i, unit(16)) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in forest.nearest(df, df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert all(len(got[i]) == (14 if i < 100 else 20) for i, _ in rows)
+    assert all(got[i] == set(range(15)) - {i} for i in range(15))
