@@ -60,3 +60,11 @@ def test_near_copies_make_no_clue(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.learn(docs, docs, "doc_id", "text", "toxic", 4, 2, 1000, 1000)
     assert b"vermin." in model.weights and b"zork." not in model.weights
+
+
+def test_texts_behind_one_header_all_teach(spark):
+    header = " ".join(f"header{chr(97 + i)}" for i in range(18))
+    rows = [(i, f"{header} fine{chr(97 + i % 26)} text{i} plain{chr(97 + i % 25)} vermin and words", 1) for i in range(40)]
+    rows += [(100 + i, f"{header} fine text {i} of plain words", 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert b"vermin." in toxicity.learn(docs, docs, "doc_id", "text", "toxic", 4, 2, 1000, 1000).weights
