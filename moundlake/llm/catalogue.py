@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundlake.llm import attention, content_sort, forest, licenses, mixing, quality, sampling, secrets, simhash, toxicity
+from moundlake.llm import attention, content_sort, forest, licenses, mixing, occurrences, quality, sampling, secrets, simhash, toxicity
 from moundlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_jaccard_join", occurrences.sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return occurrences.groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
