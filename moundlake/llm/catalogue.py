@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundlake.llm import attention, content_sort, forest, licenses, mixing, occurrences, quality, sampling, secrets, simhash, toxicity
+from moundlake.llm import attention, content_sort, forest, licenses, mixing, negatives, occurrences, quality, ranking, sampling, secrets, simhash, toxicity
 from moundlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,17 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occurrences.groups(table(spark, sf_dir, "documents"))
 
 
+@query("op12_term_pipeline", ranking.sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_angular_negatives", negatives.sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
