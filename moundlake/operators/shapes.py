@@ -1,7 +1,7 @@
 """Vector output: outlines of heaps, simplification, repair, split and merge.
 
-Spark finds and merges the boundary edges; a NumPy helper then works on one
-polygon (or one small group to merge) at a time, never on cells.
+Outlines are linked and ordered by Spark joins. Repair, split and merge work on one polygon
+(or one small group to merge) at a time with a NumPy helper, never on cells.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from moundlake.functions import planar
 from moundlake.functions.rings import parse_geometry, polygon_area
-from moundlake.runtime import bounded_broadcast, spread
+from moundlake.runtime import bounded_broadcast, cut_lineage, spread
 from moundlake.schema import RINGS
 
 RINGS_DDL = "array<array<array<double>>>"
@@ -65,35 +65,79 @@ def outline_segments(labels: DataFrame) -> DataFrame:
     )
 
 
-def _trace_outline(segments: pd.DataFrame) -> pd.DataFrame:
-    s = segments
-    side, line = s["side"].to_numpy(), s["line"].to_numpy(float)
-    a, b = s["a"].to_numpy(float), s["b"].to_numpy(float)
-    res, west, north = float(s["res"].iloc[0]), float(s["west"].iloc[0]), float(s["north"].iloc[0])
-    # grid units with y up; south sides run east, east sides north, north sides west, west sides south
-    x1 = np.select([side == "s", side == "n"], [a, b], line)
-    x2 = np.select([side == "s", side == "n"], [b, a], line)
-    y1 = -np.select([side == "e", side == "w"], [b, a], line)
-    y2 = -np.select([side == "e", side == "w"], [a, b], line)
-    order = np.lexsort((x1, -y1))
-    rings = planar.trace(np.column_stack([x1, y1, x2, y2])[order])
-    rings = [ring * res for part in planar.group_parts(rings) for ring in part]
-    return pd.DataFrame({
-        "survey_id": s["survey_id"].iloc[:1], "heap_id": s["heap_id"].iloc[:1],
-        "rings": [planar.closed_lists(rings, np.array([west, north]))],
-    })
+def directed_segments(labels: DataFrame) -> DataFrame:
+    """Boundary segments with their first and last grid vertex (``x`` right, ``i`` down) and a number.
+
+    A side and the vertex it starts from belong to one cell only, so the number is unique within a survey.
+    """
+    k, line = F.col("side"), F.col("line")
+    south, north = k == "s", k == "n"
+    turns = {"s": 0, "e": 1, "n": 2, "w": 3}  # counter-clockwise: each is a left turn from the one before
+    code = F.when(south, turns["s"]).when(k == "e", turns["e"]).when(north, turns["n"]).otherwise(turns["w"])
+    ends = outline_segments(labels).select(
+        "survey_id", "heap_id", code.alias("turn"),
+        F.when(south, F.col("a")).when(north, F.col("b")).otherwise(line).alias("x1"),
+        F.when(south | north, line).when(k == "e", F.col("b")).otherwise(F.col("a")).alias("i1"),
+        F.when(south, F.col("b")).when(north, F.col("a")).otherwise(line).alias("x2"),
+        F.when(south | north, line).when(k == "e", F.col("a")).otherwise(F.col("b")).alias("i2"),
+    )
+    number = (F.shiftleft(F.col("i1").cast("long"), 33) + F.shiftleft(F.col("x1").cast("long"), 2) + F.col("turn")).alias("id")
+    return ends.select("survey_id", "heap_id", number, "turn", "x1", "i1", "x2", "i2")
+
+
+def next_segments(segments: DataFrame) -> DataFrame:
+    """``segments`` with the number of the ``next`` one of their ring.
+
+    Where two cells touch at a corner two segments start; the left turn stays at the same cell, so their rings stay apart.
+    """
+    starts = segments.select("survey_id", "heap_id", F.col("x1").alias("x2"), F.col("i1").alias("i2"), F.col("id").alias("to"), F.col("turn").alias("then"))
+    left = F.pmod(F.col("then") - F.col("turn"), F.lit(4)) != 1
+    followed = segments.join(starts, ["survey_id", "heap_id", "x2", "i2"]).where("then <> turn and to <> id")
+    chosen = followed.groupBy("survey_id", "id").agg(F.min_by("to", left).alias("next"))
+    return segments.join(chosen, ["survey_id", "id"])
+
+
+def rank_rings(links: DataFrame) -> DataFrame:
+    """``(survey_id, id, ring, ahead)`` of ``(survey_id, id, next)``: the least number of the ring and the steps ahead to it.
+
+    List ranking by pointer doubling: after k rounds a row knows the least of the 2^k segments from it on. When no row's least
+    changes any more, every window holds its ring's least. Rounds grow with the logarithm of the longest ring.
+    """
+    known = cut_lineage(links.select("survey_id", "id", "next", F.col("id").alias("low"), F.lit(0).cast("long").alias("ahead")))
+    width = 1
+    while True:
+        other = known.select("survey_id", F.col("id").alias("next"), F.col("next").alias("_next"), F.col("low").alias("_low"), F.col("ahead").alias("_ahead"))
+        nearer = F.col("low") <= F.col("_low")
+        joined = known.join(other, ["survey_id", "next"]).select(
+            "survey_id", "id", F.col("_next").alias("next"), F.least("low", "_low").alias("low"),
+            F.when(nearer, F.col("ahead")).otherwise(F.col("_ahead") + width).alias("ahead"), (~nearer).alias("moved"),
+        )
+        known = cut_lineage(joined)
+        width *= 2
+        if known.where("moved").isEmpty():
+            return known.select("survey_id", "id", F.col("low").alias("ring"), "ahead")
 
 
 def outlines(labels: DataFrame, grids: DataFrame) -> DataFrame:
-    """Exact cell outline of every label: (survey_id, heap_id, rings).
+    """Exact cell outline of every label: (survey_id, heap_id, rings), outer rings counter-clockwise and first, holes clockwise.
 
-    A group is the outline of one heap, already merged to its straight segments;
-    the polygon it becomes is a single value anyway.
+    Boundary segments are linked to rings by joins and put in order by list ranking; only the ring itself, which is
+    one value of the result, is gathered in one place.
     """
+    segments = cut_lineage(next_segments(directed_segments(labels)))
+    ranked = segments.join(rank_rings(segments), ["survey_id", "id"])
     geometry = bounded_broadcast(grids.select("survey_id", "west", "north", "res"))
-    return (
-        outline_segments(labels).join(geometry, "survey_id").groupBy("survey_id", "heap_id")
-        .applyInPandas(_trace_outline, f"survey_id long, heap_id long, rings {RINGS_DDL}")
+    # the segment after the ring's least one has the longest way ahead
+    place = F.when(F.col("ahead") == 0, F.lit(0)).otherwise(-F.col("ahead"))
+    order = F.struct((F.col("ahead") > 0).alias("later"), place.alias("place"), F.array(
+        F.col("west") + F.col("x1") * F.col("res"), F.col("north") - F.col("i1") * F.col("res")
+    ).alias("p"))
+    twice = F.sum(F.col("x2").cast("long") * F.col("i1") - F.col("x1").cast("long") * F.col("i2"))
+    rings = ranked.join(geometry, "survey_id").groupBy("survey_id", "heap_id", "ring").agg(
+        F.array_sort(F.collect_list(order)).alias("o"), twice.alias("area2")
+    ).select("survey_id", "heap_id", F.struct((-F.col("area2")).alias("a"), "ring", F.concat(F.col("o.p"), F.array(F.col("o.p")[0])).alias("pts")).alias("k"))
+    return rings.groupBy("survey_id", "heap_id").agg(F.array_sort(F.collect_list("k")).alias("k")).select(
+        "survey_id", "heap_id", F.col("k.pts").alias("rings")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moundlake.operators import neighbourhood as nb
-from moundlake.operators import segments, surface, zonal
+from moundlake.operators import segments, shapes, surface, tiles, zonal
 from moundlake.operators.quantiles import group_percentile
 from moundlake.runtime import bounded_broadcast, cut_lineage
 from moundlake.schema import CONFIG_DEFAULTS
@@ -35,8 +35,17 @@ class Result:
     terrain: DataFrame      # survey_id, base, method, confidence, notes
     height: DataFrame       # survey_id, r, c, v
     labels: DataFrame       # survey_id, r, c, heap_id
-    classified: DataFrame   # one row per component
+    classified: DataFrame   # one row per component, with its box
     metrics: DataFrame      # one row per accepted heap
+    grids: DataFrame
+
+    def outlines(self) -> DataFrame:
+        """``(survey_id, heap_id, rings)`` of the accepted heaps; linked and ordered when asked for."""
+        return shapes.outlines(self.labels.join(self.metrics.select("survey_id", "heap_id"), ["survey_id", "heap_id"], "left_semi"), self.grids)
+
+    def heaps(self) -> DataFrame:
+        """Accepted heaps with metrics and rings: what comparisons and exports take."""
+        return self.metrics.join(self.outlines(), ["survey_id", "heap_id"])
 
 
 def terrain_rasters(
@@ -130,16 +139,15 @@ def terrain_rasters(
 def measure(height: DataFrame, grids: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Labels, classified components and accepted-heap metrics of a height raster.
 
-    ``height`` feeds the mask, the statistics and the gradient, so pass it written out.
+    ``height`` feeds the tiles and the gradient, so pass it written out. Mask, labels and statistics take one exchange of the cells.
     """
-    mask = segments.heap_mask(height, config.height_threshold, config.open_k, config.close_k)
-    labels = cut_lineage(segments.label_cells(mask, grids))
-    classified = segments.classify(
-        segments.component_statistics(labels, height, grids), config.min_heap_area, config.max_heap_area
-    )
+    runs = tiles.segment(height, grids, config.height_threshold, config.open_k, config.close_k)
+    labels = tiles.run_cells(runs)
+    classified = segments.classify(tiles.run_statistics(runs, grids), config.min_heap_area, config.max_heap_area)
     sloped = zonal.with_gradient(height, grids)
     metrics = zonal.heap_metrics(labels, sloped, config.height_threshold)
-    accepted = metrics.join(classified.where("not is_filtered").select("survey_id", "heap_id"), ["survey_id", "heap_id"])
+    kept = classified.where("not is_filtered").select("survey_id", "heap_id")
+    accepted = metrics.join(kept, ["survey_id", "heap_id"])
     return labels, classified, accepted
 
 
@@ -158,4 +166,4 @@ def process(
     height = cut_lineage(surface.height_cells(surface_cells, terrain))
     labels, classified, metrics = measure(height, grids, config)
     metrics = metrics.join(summary.select("survey_id", F.col("base").alias("base_elevation_m")), "survey_id")
-    return Result(surface_cells, summary, height, labels, classified, metrics)
+    return Result(surface_cells, summary, height, labels, classified, metrics, grids)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from moundlake.functions import cells as cx
 from moundlake.operators import neighbourhood as nb
-from moundlake.operators import profile, pyramid, segments, surface, watershed, zonal
+from moundlake.operators import profile, pyramid, segments, surface, tiles, watershed, zonal
 from moundlake.operators.quantiles import group_percentile
 from moundlake.plans.process import Config, process
 from moundlake.runtime import bounded_broadcast, cut_lineage
@@ -463,6 +463,9 @@ def win_09(spark, d):
 
 
 # ---- segmentation --------------------------------------------------------
+TILE_CELLS = 32  # small enough that heaps cross the seams of tiles
+
+
 @register("GEO-01", query("SELECT survey_id, r, c, heap_id FROM labels", "labels"))
 def geo_01(spark, d):
     return segments.label_cells(segments.heap_mask(stages.height(spark, d)), stages.grids(spark, d))
@@ -539,15 +542,17 @@ def agg_30(spark, d):
     )
 
 
-@register("GEO-16", query(f"SELECT {STAT_COLS}, round(compactness, 6) AS compactness, filter_code FROM classed", "classed"))
+@register("GEO-16", query(f"""
+SELECT {STAT_COLS}, round(compactness, 6) AS compactness, filter_code, bbox_min_e, bbox_min_n, bbox_max_e, bbox_max_n
+FROM classed JOIN (SELECT survey_id, heap_id, bbox_min_e, bbox_min_n, bbox_max_e, bbox_max_n FROM metrics) USING (survey_id, heap_id)""",
+    "classed", "metrics"))
 def geo_16(spark, d):
-    """Threshold, opening, closing, components, statistics and rules from the height raster."""
-    h, g = stages.height(spark, d), stages.grids(spark, d)
-    cells = cut_lineage(segments.label_cells(segments.heap_mask(h), g))
-    done = segments.classify(segments.component_statistics(cells, h, g))
-    return done.select(
+    """Threshold, opening, closing, components, statistics, boxes and rules from the height raster, by tiles with a halo."""
+    g = stages.grids(spark, d)
+    runs = tiles.segment(stages.height(spark, d), g, tile=TILE_CELLS)
+    return segments.classify(tiles.run_statistics(runs, g)).select(
         "survey_id", "heap_id", "cells", "area_m2", r6("height_mean"), r6("height_std"), "height_max",
-        r6("compactness"), "filter_code",
+        r6("compactness"), "filter_code", "bbox_min_e", "bbox_min_n", "bbox_max_e", "bbox_max_n",
     )
 
 

@@ -491,9 +491,13 @@ UNION ALL SELECT pair_id, NULL, heap_id, 'added', volume_m3 FROM site_metrics s
   AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.pair_id = s.pair_id AND m.heap_b = s.heap_id)""")
 
 
+def _heaps(spark, d):
+    return stages.metrics(spark, d).withColumn("volume_m3", F.round("volume_m3", 6))
+
+
 def _comparison(spark, d):
-    heaps = heap_shapes(spark, d).withColumn("volume_m3", F.round("volume_m3", 6))
-    return compare_surveys(heaps, site_pairs(spark, d))
+    """The later survey of every site against its baseline; overlaps are counted on the cells of the labels."""
+    return compare_surveys(_heaps(spark, d), site_pairs(spark, d), iou=compare.raster_iou(*_site_cells(spark, d)))
 
 
 @register("GEO-10", query("""
@@ -538,12 +542,11 @@ LEFT JOIN site_metrics a ON a.pair_id = c.pair_id AND a.heap_id = heap_a AND a.s
 LEFT JOIN site_metrics b ON b.pair_id = c.pair_id AND b.heap_id = heap_b AND b.survey_id % 2 = 0)""", "changes", "site_metrics"))
 def spc_04(spark, d):
     """Comparison table: volumes of both surveys, difference and percent per heap."""
-    heaps = heap_shapes(spark, d).withColumn("volume_m3", F.round("volume_m3", 6))
-    pairs = site_pairs(spark, d)
+    heaps, pairs = _heaps(spark, d), site_pairs(spark, d)
     side = lambda key, s: heaps.join(bounded_broadcast(pairs), heaps["survey_id"] == F.col(f"survey_{s}")).select(
         "pair_id", F.col("heap_id").alias(key), F.col("volume_m3").alias(f"volume_{s}")
     )
-    changes = compare_surveys(heaps, pairs).changes
+    changes = _comparison(spark, d).changes
     joined = changes.join(side("heap_a", "a"), ["pair_id", "heap_a"], "left").join(side("heap_b", "b"), ["pair_id", "heap_b"], "left")
     delta = F.col("volume_b") - F.col("volume_a")
     return joined.select(
@@ -558,9 +561,8 @@ SELECT survey_id, heap_id, volume_m3, previous_heap_id, previous_m3, round(volum
   LEFT JOIN matched m ON s.survey_id % 2 = 0 AND m.pair_id = s.pair_id AND m.heap_b = s.heap_id
   LEFT JOIN site_metrics a ON a.pair_id = m.pair_id AND a.heap_id = m.heap_a AND a.survey_id % 2 = 1)""", "matched", "site_metrics"))
 def spc_02(spark, d):
-    heaps = heap_shapes(spark, d).withColumn("volume_m3", F.round("volume_m3", 6))
-    pairs = site_pairs(spark, d)
-    return volume_timeline(compare_surveys(heaps, pairs).changes, heaps.select("survey_id", "heap_id", "volume_m3"), pairs)
+    heaps, pairs = _heaps(spark, d), site_pairs(spark, d)
+    return volume_timeline(_comparison(spark, d).changes, heaps.select("survey_id", "heap_id", "volume_m3"), pairs)
 
 
 @register("SPC-01", query("""

@@ -162,3 +162,28 @@ def test_a_single_top_is_not_split(spark):
     cells, g = grid_frame(spark, [h])
     labels = spark.createDataFrame([(1, int(y), int(x), 1) for y, x in np.argwhere(h > 0)], "survey_id long, r int, c int, heap_id long")
     assert watershed.split_heaps(labels, cells, g, 5).select("heap_id").distinct().count() == 1
+
+
+def test_polygon_iou_equals_overlay(spark):
+    """Rings either way round, holes, parts, shared edges and slanted crossings against the overlay of one pair."""
+    rng = np.random.default_rng(4)
+
+    def star(x, y, n, turn=1):
+        angle = np.sort(rng.random(n)) * 2 * np.pi
+        size = rng.uniform(3, 9, n)
+        return np.column_stack([x + size * np.cos(angle), y + size * np.sin(angle)])[::turn]
+
+    shapes_a = [[star(20, 20, 15)], [star(20, 20, 9, -1)], [box(0, 0, 12, 12), box(3, 3, 9, 9)], [box(0, 0, 5, 5), box(8, 0, 13, 5)[::-1]], [box(0, 0, 4, 4)]]
+    shapes_b = [[star(22, 18, 12, -1)], [star(15, 22, 20)], [box(5, 5, 20, 20)[::-1], box(6, 6, 7, 7)], [box(4, 1, 9, 4)], [box(4, 0, 8, 4)]]
+    rows, want = [], {}
+    for i, a in enumerate(shapes_a):
+        for j, b in enumerate(shapes_b):
+            lists = lambda rings: [[[float(x) + 500_000, float(y) + 5_000_000] for x, y in np.vstack([r, r[:1]])] for r in rings]
+            rows.append((1, i, j, lists(a), lists(b)))
+            common, either = planar.overlap_areas(a, b)
+            if common > 1e-6:
+                want[i, j] = common / either
+    kinds = "pair_id long, heap_a long, heap_b long, rings_a array<array<array<double>>>, rings_b array<array<array<double>>>"
+    got = {(r["heap_a"], r["heap_b"]): r["iou"] for r in polygon_iou(spark.createDataFrame(rows, kinds)).collect()}
+    assert got.keys() == want.keys() and len(want) > 10
+    assert all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items())
