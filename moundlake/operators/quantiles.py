@@ -10,30 +10,18 @@ from pyspark.sql import functions as F
 MICRON = 6  # decimals kept in every height raster
 
 
+# Metres of a first bucket of the heights in a cell: a cell has few of them, and one holds 62,500 heights at most.
+CELL_STEP = 0.0625
+
+
 def cell_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str) -> DataFrame:
-    """Interpolated percentile per small key (a raster cell).
+    """Interpolated percentile per raster cell, for all cells at once and cells of any size.
 
-    Equal values are counted first, with map-side combine, and spread over all
-    tasks by (cell, value): a cell holding a third of all points arrives at its
-    window as one row per distinct height, and scanners step in millimetres. All
-    parts run in generated code; object aggregates (``percentile``) were slower and
-    keep one object per cell in memory.
+    The selection of ``group_percentile`` with buckets of a few centimetres: equal heights are counted with map-side combine and
+    spread by (cell, height), buckets are summed per cell, and only the bucket of the wanted rank is put in
+    order. A cell that holds a third of all points, at heights that never repeat, reaches no window whole.
     """
-    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(value).alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumns({
-        "_last": F.sum("_n").over(upto),
-        "_total": F.sum("_n").over(Window.partitionBy(*keys)),
-    })
-    position = F.lit(q) * (F.col("_total") - 1)
-    at = lambda rank: F.max(
-        F.when((rank >= F.col("_last") - F.col("_n")) & (rank < F.col("_last")), F.col("_v"))
-    )
-    ends = ranked.groupBy(*keys).agg(
-        at(F.floor(position)).alias("_lo"), at(F.ceil(position)).alias("_hi"),
-        F.max(position - F.floor(position)).alias("_frac"),
-    )
-    return ends.select(*keys, F.round(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac"), MICRON).alias(out))
+    return group_percentile(df, keys, value, q, out, CELL_STEP)
 
 
 def group_percentile(
