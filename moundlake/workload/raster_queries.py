@@ -663,7 +663,8 @@ step("levels", ("grid",), """
 SELECT survey_id, z, w, h, greatest(w, h)*res AS extent, greatest(w, h)*res/(32*power(2, z)) AS tile_res, res
 FROM (SELECT *, unnest(range(0, CAST(greatest(0, ceil(log2(greatest(w, h)/32.0))) AS INT) + 1)) AS z FROM grid)""")
 step("pixels", ("levels", "dsm"), """
-SELECT survey_id, z, gx // 32 AS tx, gy // 32 AS ty, gx % 32 AS px, gy % 32 AS py, round(avg(v), 9) AS v FROM (
+SELECT survey_id, z, gx // 32 AS tx, gy // 32 AS ty, gx % 32 AS px, gy % 32 AS py,
+  ((2*sum(round(v*1e6)::BIGINT) + count(v)) // (2*count(v)))/1e6 AS v FROM (
   SELECT survey_id, z, v, gx, unnest(CASE WHEN s >= 1 THEN range(CAST(ceil(r*s - 0.5) AS BIGINT), greatest(CAST(ceil(r*s - 0.5) AS BIGINT), CAST(ceil((r + 1)*s - 0.5) AS BIGINT) - 1) + 1)
       ELSE [CAST(floor((r + 0.5e0)*s) AS BIGINT)] END) AS gy
   FROM (SELECT d.survey_id, z, v, r, res/tile_res AS s, unnest(CASE WHEN res/tile_res >= 1
@@ -679,6 +680,35 @@ def agg_27(spark, d):
     return pyramid.pyramid_tiles(stages.surface_filled(spark, d), stages.grids(spark, d), 32)
 
 
+BANDS = ("v", "low", "points")
+step("banded", ("dsm", "binned"), """
+SELECT survey_id, r, c, v, low, points FROM dsm LEFT JOIN (
+  SELECT survey_id, r, c, min(z) AS low, CAST(count(*) AS DOUBLE) AS points FROM binned GROUP BY 1, 2, 3) USING (survey_id, r, c)""")
+step("banded_pixels", ("levels", "banded"), f"""
+SELECT survey_id, z, gx // 32 AS tx, gy // 32 AS ty, gx % 32 AS px, gy % 32 AS py,
+  {", ".join(f"((2*sum(round({b}*1e6)::BIGINT) + count({b})) // (2*count({b})))/1e6 AS {b}" for b in BANDS)} FROM (
+  SELECT *, unnest(CASE WHEN s >= 1 THEN range(CAST(ceil(r*s - 0.5) AS BIGINT), greatest(CAST(ceil(r*s - 0.5) AS BIGINT), CAST(ceil((r + 1)*s - 0.5) AS BIGINT) - 1) + 1)
+      ELSE [CAST(floor((r + 0.5e0)*s) AS BIGINT)] END) AS gy
+  FROM (SELECT d.*, z, l.res/tile_res AS s, unnest(CASE WHEN l.res/tile_res >= 1
+      THEN range(CAST(ceil(c*(l.res/tile_res) - 0.5) AS BIGINT), greatest(CAST(ceil(c*(l.res/tile_res) - 0.5) AS BIGINT), CAST(ceil((c + 1)*(l.res/tile_res) - 0.5) AS BIGINT) - 1) + 1)
+      ELSE [CAST(floor((c + 0.5e0)*(l.res/tile_res)) AS BIGINT)] END) AS gx
+    FROM banded d JOIN levels l USING (survey_id))) GROUP BY survey_id, z, gx, gy""")
+
+
+@register("AGG-27-bands", query(f"""
+SELECT survey_id, z, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, CAST(px AS INT) AS px, CAST(py AS INT) AS py, {", ".join(BANDS)},
+  {", ".join(f"CASE WHEN {b} IS NOT NULL THEN CAST(CASE WHEN max({b}) OVER t > min({b}) OVER t THEN floor(({b} - min({b}) OVER t)/(max({b}) OVER t - min({b}) OVER t)*255) ELSE 0 END AS INT) END AS {b}_level" for b in BANDS)}
+FROM banded_pixels WINDOW t AS (PARTITION BY survey_id, z, tx, ty)""", "banded_pixels"))
+def agg_27_bands(spark, d):
+    """Three-band tiles, each band stretched for itself: surface, lowest point and point count, which some cells lack."""
+    g = stages.grids(spark, d)
+    counted = surface.bin_points(adapter.points(spark, d), g).groupBy(*CELL).agg(
+        F.min("z").alias("low"), F.count(F.lit(1)).cast("double").alias("points")
+    )
+    banded = stages.surface_filled(spark, d).join(counted, CELL, "left")
+    return pyramid.stretch_tiles(pyramid.pyramid_tiles(banded, g, 32, bands=BANDS), BANDS)
+
+
 @register("AGG-28", query("""
 SELECT survey_id, z, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, CAST(px AS INT) AS px, CAST(py AS INT) AS py, v,
   CAST(CASE WHEN max(v) OVER t > min(v) OVER t THEN floor((v - min(v) OVER t)/(max(v) OVER t - min(v) OVER t)*255) ELSE 0 END AS INT) AS level
