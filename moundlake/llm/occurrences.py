@@ -9,8 +9,8 @@ similar text stands in at least ``T`` of the text's inverted lists. The search r
 2. What is left is dealt into blocks of whole texts, each with its own inverted lists. In a block a query merges
    its short lists, keeps those that occur often enough, and probes the long lists for them by
    binary search. First every block is searched with its own texts.
-3. Two similar texts share one of each other's ``n - T + 1`` rarest shingles. Where a list of these still holds several
-   components, all but those of its commonest component are sent as queries to the blocks that the list touches. Texts of one
+3. Two similar texts share one of each other's first ``n - T + 1`` shingles in any order of all; long lists come last. Where a
+   list of these still holds several components, all but those of its commonest component are sent as queries to the blocks that the list touches. Texts of one
    component needn't be compared again, so a large group of near copies makes no pairs.
 """
 
@@ -37,6 +37,8 @@ SMALL = 64
 BLOCK_SHINGLES, BLOCK_TEXTS = 2_000_000, 8_192
 # Probed shingles of a group of lists on average, and bytes of text that are hashed together.
 BUCKET_ENTRIES, SLICE_BYTES = 100_000, 16 << 20
+# Texts of a list that is looked at after the shorter ones.
+LONG_LIST = 64
 # Weight of a merged list entry against a binary probe: DivideSkip sets T / (MU * log2(longest) + 1) lists aside.
 MU = 0.01
 
@@ -283,17 +285,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     sets = in_batches(texts, whole, "node long, shingles array<long>", max_bytes=2 << 20)
     sets = cut_lineage(sets.join(bounded_broadcast(alive), "node", "left_semi").dropDuplicates(["node"]))
 
-    # the lists of the rarest shingles, over what is left; those of one text don't count
-    entries = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    lengths = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    least = F.ceil(F.col("n") * percent / 100)
-    rare = (
-        entries.join(lengths, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("met"))
-        .withColumn("wanted", (F.size("met") - least + 1).cast("int")).where("wanted > 0")
-        .select("node", F.slice("met.shingle", F.lit(1), F.col("wanted")).alias("short"))
-    )
-    rare = cut_lineage(rare)
-    sets = cut_lineage(dealt_into_blocks(sets.join(bounded_broadcast(rare.select("node")), "node", "left_semi"), 0))
+    # every text's first n - T + 1 lists in one order of all lists: short ones by their hash, then the long ones
+    entries = sets.select("node", F.explode("shingles").alias("shingle"))
+    long = cut_lineage(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > LONG_LIST).select("shingle"))
+    met = entries.join(bounded_broadcast(long), "shingle").groupBy("node").agg(F.array_sort(F.collect_list("shingle")).alias("long"))
+    none, n = F.array().cast("array<long>"), F.size("shingles")
+    ordered = F.concat(F.array_except("shingles", F.coalesce("long", none)), F.coalesce("long", none))
+    first = F.slice(ordered, F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
+    rare = cut_lineage(sets.join(met, "node", "left").select("node", first.alias("short")))
+    sets = cut_lineage(dealt_into_blocks(sets, 0))
 
     roots = cut_lineage(block_roots(sets, percent))
     # one text a component, dealt anew: large groups that lay in several blocks come together
