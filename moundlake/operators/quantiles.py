@@ -14,32 +14,33 @@ MICRON = 6  # decimals kept in every height raster
 CELL_STEP = 0.0625
 
 
-def cell_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str) -> DataFrame:
+def cell_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str, weight: str | None = None) -> DataFrame:
     """Interpolated percentile per raster cell, for all cells at once and cells of any size.
 
     The selection of ``group_percentile`` with buckets of a few centimetres: equal heights are counted with map-side combine and
     spread by (cell, height), buckets are summed per cell, and only the bucket of the wanted rank is put in
     order. A cell that holds a third of all points, at heights that never repeat, reaches no window whole.
     """
-    return group_percentile(df, keys, value, q, out, CELL_STEP)
+    return group_percentile(df, keys, value, q, out, CELL_STEP, weight)
 
 
 def group_percentile(
-    df: DataFrame, keys: Sequence[str], value: str, q: float, out: str, step: float = 1e-3
+    df: DataFrame, keys: Sequence[str], value: str, q: float, out: str, step: float = 1e-3, weight: str | None = None
 ) -> DataFrame:
     """Percentile per key of any size (all cells of a survey), never in one task.
 
     Distinct values are counted in parallel, summed per bucket of ``step`` metres,
     and only the one or two buckets around the wanted rank are ordered. The bucket
-    table is bounded by the relief of the site, a bucket by the micrometre grid.
+    table is bounded by the relief of the site, a bucket by the micrometre grid. With a ``weight``
+    column a row stands for so many equal values.
     """
     keys = list(keys)
     exact = F.round(F.col(value), MICRON)
     counts = (
         df.where(F.col(value).isNotNull())
-        .select(*keys, exact.alias("_v"))
+        .select(*keys, exact.alias("_v"), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("_w"))
         .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("_w").alias("_n"))
         .withColumn("_b", F.floor(F.col("_v") / F.lit(step)))
     )
     running = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)

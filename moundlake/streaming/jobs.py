@@ -6,57 +6,76 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from moundlake.operators.quantiles import cell_percentile
+from moundlake.operators.quantiles import MICRON, cell_percentile
 from moundlake.operators.surface import bin_points
+from moundlake.runtime import cut_lineage
 from moundlake.schema import POINTS
+from moundlake.sinks.versions import VersionedTables
 from moundlake.sources.messages import parse_messages
 
+BAND_ROWS = 256  # grid lines of a band, the part of a survey that a batch rewrites
+
 
 def point_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """New Parquet files of points as a stream."""
     return spark.readStream.schema(POINTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def cell_extremes(points: DataFrame, grids: DataFrame) -> DataFrame:
-    """Mergeable state per cell: lowest, highest and count."""
-    return bin_points(points, grids).groupBy("survey_id", "r", "c").agg(
-        F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.count(F.lit(1)).alias("points")
+def cell_heights(points: DataFrame, grids: DataFrame) -> DataFrame:
+    """Mergeable state per cell: every distinct height with its number of points, in bands of ``BAND_ROWS`` grid lines."""
+    counted = bin_points(points, grids).where("z is not null").groupBy("survey_id", "r", "c", F.round("z", MICRON).alias("z")).agg(
+        F.count(F.lit(1)).alias("points")
     )
+    return counted.withColumn("part", F.floor(F.col("r") / BAND_ROWS).cast("int"))
 
 
-def merge_extremes(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.unionByName(new).groupBy("survey_id", "r", "c").agg(
-        F.min("min_z").alias("min_z"), F.max("max_z").alias("max_z"), F.sum("points").alias("points")
-    )
+def merge_batch(tables: VersionedTables, batch: DataFrame, batch_id: int, grids: DataFrame) -> None:
+    """Merge one batch of points into the heights in force; a batch that is merged already changes nothing.
+
+    Only the bands that the batch touches are read and written anew, as one commit marked with the batch.
+    """
+    done = tables.mark()
+    if done is not None and batch_id <= done:
+        return
+    fresh = cut_lineage(cell_heights(batch, grids))
+    merged, old = fresh, tables.read("heights", only=fresh)
+    if old is not None:
+        both = old.select(fresh.columns).unionByName(fresh)
+        merged = both.groupBy("survey_id", "r", "c", "z", "part").agg(F.sum("points").alias("points"))
+    tables.commit({"heights": merged}, mark=batch_id)
 
 
 def ingest(stream: DataFrame, grids: DataFrame, table: str, checkpoint: str) -> DataStreamWriter:
-    """Write the cell extremes of each micro-batch under its batch id.
+    """Merge every micro-batch of points into the table of cell heights.
 
-    A replayed batch overwrites its own folder, so a lost executor or a restarted
-    query never counts points twice. ``ingested`` merges the batches on read.
+    A replayed batch is skipped by its mark, and one that was lost half-way left no manifest, so a lost executor or a restarted
+    query never counts points twice. Files stay in proportion to the bands, not to the batches.
     """
-
-    def append(batch: DataFrame, batch_id: int) -> None:
-        cell_extremes(batch, grids).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    tables = VersionedTables(stream.sparkSession, table)
+    return stream.writeStream.foreachBatch(lambda batch, batch_id: merge_batch(tables, batch, batch_id, grids)).option(
+        "checkpointLocation", checkpoint
+    )
 
 
-def ingested(spark: SparkSession, table: str) -> DataFrame:
-    """Current state per cell over all batches."""
-    parts = spark.read.parquet(table).drop("batch")
-    return parts.groupBy("survey_id", "r", "c").agg(
-        F.min("min_z").alias("min_z"), F.max("max_z").alias("max_z"), F.sum("points").alias("points")
+def ingested(spark: SparkSession, table: str, since: int | None = None) -> DataFrame:
+    """``(survey_id, r, c, min_z, max_z, points)`` of all cells, or of the bands that changed after version ``since``."""
+    heights = VersionedTables(spark, table).read("heights", since=since)
+    if heights is None:
+        return spark.createDataFrame([], "survey_id long, r int, c int, min_z double, max_z double, points long")
+    return heights.groupBy("survey_id", "r", "c").agg(
+        F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.sum("points").alias("points")
     )
 
 
-def touched_surface(points: DataFrame, touched: DataFrame, grids: DataFrame, q: float = 0.95) -> DataFrame:
-    """Exact surface quantile of the touched cells only (quantiles do not merge)."""
-    inside = bin_points(points, grids).join(
-        touched.select("survey_id", "r", "c").distinct(), ["survey_id", "r", "c"], "left_semi"
-    )
-    return cell_percentile(inside, ["survey_id", "r", "c"], "z", q, "v")
+def ingested_surface(spark: SparkSession, table: str, q: float = 0.95, since: int | None = None) -> DataFrame:
+    """Exact surface quantile of the cells from the merged heights; no point is read again.
+
+    With ``since`` only the bands that changed after that version are computed, for a refresh of an older surface.
+    """
+    heights = VersionedTables(spark, table).read("heights", since=since)
+    if heights is None:
+        return spark.createDataFrame([], "survey_id long, r int, c int, v double")
+    return cell_percentile(heights, ["survey_id", "r", "c"], "z", q, "v", weight="points")
 
 
 def latest_progress(messages: DataFrame) -> DataFrame:

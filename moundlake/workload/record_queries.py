@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,12 +12,13 @@ from moundlake.functions import formats
 from moundlake.operators import compare, report, segments, zonal
 from moundlake.operators.surface import bin_points
 from moundlake.sinks import exports
+from moundlake.sinks.versions import VersionedTables
 from moundlake.sources import documents as sd
 from moundlake.sources import folders as sf
 from moundlake.sources import messages as sm
 from moundlake.sources import points as sp
 from moundlake.streaming import jobs
-from moundlake.runtime import bounded_broadcast
+from moundlake.runtime import bounded_broadcast, ensure_checkpoint_dir
 from moundlake.workload import adapter, stages
 from moundlake.workload.adapter import heap_records, projects, surveys, table
 from moundlake.workload.registry import register
@@ -776,12 +779,17 @@ def scl_12(spark, d):
 
 # ---- batch forms of the streaming jobs -----------------------------------
 @register("STR-01", query("""
-SELECT survey_id, r, c, min(z) AS min_z, max(z) AS max_z, count(*) AS points FROM binned GROUP BY ALL""", "binned"))
+SELECT survey_id, r, c, min(z) AS min_z, max(z) AS max_z, count(*) AS points, round(quantile_cont(z, 0.95), 6) AS v
+FROM binned GROUP BY ALL""", "binned"))
 def str_01(spark, d):
-    """Cell state merged from two ingest batches."""
-    pts, g = adapter.points(spark, d), stages.grids(spark, d)
-    first, second = pts.where("classification = 2"), pts.where("classification <> 2")
-    return jobs.merge_extremes(jobs.cell_extremes(first, g), jobs.cell_extremes(second, g))
+    """Cells merged from ingest batches, one of which is replayed; the exact surface comes from the merged heights."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/ingest-{uuid.uuid4().hex}"
+    pts, g = adapter.points(spark, d, "l_linenumber"), stages.grids(spark, d)
+    tables = VersionedTables(spark, folder)
+    for batch_id in (0, 1, 1, 2):
+        jobs.merge_batch(tables, pts.where(F.col("l_linenumber") % 3 == batch_id).drop("l_linenumber"), batch_id, g)
+    return jobs.ingested(spark, folder).join(jobs.ingested_surface(spark, folder), ["survey_id", "r", "c"])
 
 
 @register("STR-02", query(f"""

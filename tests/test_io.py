@@ -11,6 +11,7 @@ from moundlake.functions import formats
 from moundlake.operators import compare, report
 from moundlake.plans.match import compare_surveys
 from moundlake.sinks import exports
+from moundlake.sinks.versions import VersionedTables
 from moundlake.sources import documents, folders, messages, points
 from moundlake.streaming import jobs
 from tests.conftest import grid_frame
@@ -179,21 +180,78 @@ def test_message_lines(spark):
     assert got[1][1] == "Non-JSON line: oops" and got[3][1].startswith("Unknown type 'debug'")
 
 
-def test_streaming_ingest_equals_batch(spark, tmp_path):
-    _, g = grid_frame(spark, [np.zeros((10, 10))])
-    rng = np.random.default_rng(5)
-    rows = [(1, 1000 + float(x), 2000 + float(y), float(z), 2) for x, y, z in rng.random((400, 3)) * [10, 10, 5]]
-    df = spark.createDataFrame(rows, "survey_id long, x double, y double, z double, classification int")
-    df.repartition(4).write.parquet(str(tmp_path / "in"))
-    stream = jobs.point_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
-    q = jobs.ingest(stream, g, str(tmp_path / "table"), str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert q.exception() is None
-    key = ["survey_id", "r", "c", "min_z", "max_z", "points"]
-    assert len(list((tmp_path / "table").glob("batch=*"))) == 4
-    assert sorted(jobs.ingested(spark, str(tmp_path / "table")).select(key).collect()) == sorted(jobs.cell_extremes(df, g).select(key).collect())
-    touched = jobs.ingested(spark, str(tmp_path / "table")).where("points > 4")
-    assert jobs.touched_surface(df, touched, g).count() == touched.count()
+def points_of(spark, n, seed=5):
+    rng = np.random.default_rng(seed)
+    rows = [(1 + k % 2, 1000 + float(x), 2000 + float(y), round(float(z), 3), 2) for k, (x, y, z) in enumerate(rng.random((n, 3)) * [10, 10, 5])]
+    return spark.createDataFrame(rows, "survey_id long, x double, y double, z double, classification int")
+
+
+def whole_surface(df, g):
+    from moundlake.operators.surface import surface_cells
+
+    return sorted(tuple(r) for r in surface_cells(df, g).collect())
+
+
+def test_streaming_ingest_equals_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "BAND_ROWS", 4)
+    _, g = grid_frame(spark, [np.zeros((10, 10)), np.zeros((10, 10))])
+    df = points_of(spark, 400)
+    df.repartition(10).write.parquet(str(tmp_path / "in"))
+    table = str(tmp_path / "table")
+
+    def run():
+        stream = jobs.point_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+        q = jobs.ingest(stream, g, table, str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+        assert q.exception() is None
+
+    run()
+    assert sorted(tuple(r) for r in jobs.ingested_surface(spark, table).select("survey_id", "r", "c", "v").collect()) == whole_surface(df, g)
+    assert jobs.ingested(spark, table).agg(F.sum("points")).first()[0] == 400
+    # ten batches leave two versions of at most 2 surveys x 3 bands
+    assert len(list((tmp_path / "table/manifest").glob("version=*"))) == 2
+    assert len(list((tmp_path / "table/heights").glob("version=*/survey_id=*/part=*"))) <= 2 * 6
+    # a later batch touches one band; only that one is refreshed
+    tables = VersionedTables(spark, table)
+    before = tables.versions()[-1]
+    extra = spark.createDataFrame([(1, 1000.5, 2009.5, 99.0, 2)], df.schema)
+    jobs.merge_batch(tables, extra, 1000, g)
+    fresh = jobs.ingested_surface(spark, table, since=before).collect()
+    assert fresh and {(r["survey_id"], r["r"] // 4) for r in fresh} == {(1, 0)}
+    jobs.merge_batch(tables, extra, 1000, g)  # replayed
+    assert sorted(tuple(r) for r in jobs.ingested_surface(spark, table).select("survey_id", "r", "c", "v").collect()) == whole_surface(df.union(extra), g)
+
+
+def test_replayed_and_empty_batches(spark, tmp_path):
+    _, g = grid_frame(spark, [np.zeros((10, 10)), np.zeros((10, 10))])
+    tables, df = VersionedTables(spark, str(tmp_path)), points_of(spark, 60)
+    assert jobs.ingested(spark, str(tmp_path)).count() == 0 and tables.mark() is None
+    for batch_id in (0, 1, 2, 2, 1, 3, 4):
+        part = df.where(F.floor(F.col("x") * 1000) % 3 == batch_id)  # 3 and 4 are empty
+        jobs.merge_batch(tables, part, batch_id, g)
+    assert tables.mark() == 4 and whole_surface(df, g) == sorted(tuple(r) for r in jobs.ingested_surface(spark, str(tmp_path)).select("survey_id", "r", "c", "v").collect())
+
+
+def test_two_tables_change_together_or_not_at_all(spark, tmp_path):
+    tables = VersionedTables(spark, str(tmp_path))
+    heaps = spark.createDataFrame([(s, 0, h, 10.0) for s in (1, 2) for h in (1, 2)], "survey_id long, part int, heap_id long, volume_m3 double")
+    bases = spark.createDataFrame([(1, 0, 100.0), (2, 0, 200.0)], "survey_id long, part int, base double")
+    tables.commit({"heaps": heaps, "surveys": bases})
+    new_heaps, new_bases = heaps.where("survey_id = 1").withColumn("volume_m3", F.lit(7.0)), bases.where("survey_id = 1").withColumn("base", F.lit(101.0))
+
+    @F.udf("double")
+    def fails(v):
+        raise RuntimeError("disk full")
+
+    with pytest.raises(Exception, match="disk full"):
+        tables.commit({"heaps": new_heaps, "surveys": new_bases.withColumn("base", fails("base"))})
+    state = lambda: (
+        sorted((r["survey_id"], r["heap_id"], r["volume_m3"]) for r in tables.read("heaps").collect()),
+        sorted((r["survey_id"], r["base"]) for r in tables.read("surveys").collect()),
+    )
+    assert state() == ([(1, 1, 10.0), (1, 2, 10.0), (2, 1, 10.0), (2, 2, 10.0)], [(1, 100.0), (2, 200.0)])
+    tables.commit({"heaps": new_heaps, "surveys": new_bases})
+    assert state() == ([(1, 1, 7.0), (1, 2, 7.0), (2, 1, 10.0), (2, 2, 10.0)], [(1, 101.0), (2, 200.0)])
 
 
 def test_streaming_monitor_counts_warnings(spark, tmp_path):
