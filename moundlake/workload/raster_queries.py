@@ -422,7 +422,7 @@ UPSAMPLE = """
 SELECT survey_id, r, c, round(sum(wt*v), 6) AS v FROM (
   SELECT p.survey_id, p.r, p.c, k.v, CASE WHEN k.r = r0 THEN 1 - fr ELSE fr END * CASE WHEN k.c = c0 THEN 1 - fc ELSE fc END AS wt
   FROM (SELECT *, CAST(floor(y) AS INT) AS r0, CAST(floor(x) AS INT) AS c0, y - floor(y) AS fr, x - floor(x) AS fc
-        FROM (SELECT survey_id, r, c, r*(ceil(h/4.0) - 1)/(h - 1e0) AS y, c*(ceil(w/4.0) - 1)/(w - 1e0) AS x
+        FROM (SELECT survey_id, r, c, r*(ceil(h/{factor}) - 1)/(h - 1e0) AS y, c*(ceil(w/{factor}) - 1)/(w - 1e0) AS x
               FROM cell JOIN grid USING (survey_id))) p
   JOIN {source} k ON k.survey_id = p.survey_id AND k.r BETWEEN r0 AND r0 + 1 AND k.c BETWEEN c0 AND c0 + 1)
 WHERE wt > 0 GROUP BY 1, 2, 3"""
@@ -434,14 +434,14 @@ def _coarse_grids(g, factor: int):
     )
 
 
-@register("GEO-13", query(UPSAMPLE.format(source="coarse"), "coarse", "cell"))
+@register("GEO-13", query(UPSAMPLE.format(source="coarse", factor=4.0), "coarse", "cell"))
 def geo_13(spark, d):
     g = stages.grids(spark, d)
     coarse = nb.block_min(stages.surface_filled(spark, d), "v", 4)
     return surface.upsample(coarse, _coarse_grids(g, 4), g)
 
 
-@register("WIN-06", query(UPSAMPLE.format(source="coarse_open"), "coarse_open", "cell"))
+@register("WIN-06", query(UPSAMPLE.format(source="coarse_open", factor=4.0), "coarse_open", "cell"))
 def win_06(spark, d):
     """Large-kernel opening: block minimum, opening on the coarse grid, bilinear upsample."""
     g = stages.grids(spark, d)
@@ -450,6 +450,25 @@ def win_06(spark, d):
     return surface.upsample(opened, _coarse_grids(g, 4), g)
 
 
+# the surface on a slope, as if its cells were 0.25 m wide: blocks of two cells, kernels of 3 m and 6 m by survey
+step("slope", ("dsm",), "SELECT survey_id, r, c, round(v + 0.03e0*c + 0.011e0*r, 6) AS v FROM dsm")
+step("slope_blocks", ("slope",), "SELECT survey_id, CAST(r // 2 AS INT) AS r, CAST(c // 2 AS INT) AS c, min(v) AS v FROM slope GROUP BY survey_id, r // 2, c // 2")
+step("slope_open", ("slope_blocks",), f"""
+SELECT survey_id, r, c, v FROM ({opening_sql("slope_blocks", 6)}) WHERE survey_id % 2 = 1
+UNION ALL SELECT survey_id, r, c, v FROM ({opening_sql("slope_blocks", 12)}) WHERE survey_id % 2 = 0""")
+
+
+@register("WIN-06-metres", query(f"""
+SELECT survey_id, r, c, o.v, o.v < s.v - 0.5e0 AS lowered FROM ({UPSAMPLE.format(source="slope_open", factor=2.0)}) o JOIN slope s USING (survey_id, r, c)""",
+    "slope_open", "slope", "cell"))
+def win_06_metres(spark, d):
+    """Openings in metres on sloping ground with fine cells; surveys of different kernels in one pass."""
+    sloped = stages.surface_filled(spark, d).withColumn("v", F.round(F.col("v") + 0.03 * F.col("c") + 0.011 * F.col("r"), 6))
+    fine = stages.grids(spark, d).withColumn("res", F.lit(0.25))
+    opened = surface.large_opening(sloped, fine, F.when(F.col("survey_id") % 2 == 1, 3.0).otherwise(6.0))
+    return opened.join(sloped.withColumnRenamed("v", "before"), CELL).select(*CELL, "v", (F.col("v") < F.col("before") - 0.5).alias("lowered"))
+
+
 step("box_max", ("ndsm",), f"""
 SELECT survey_id, r, c, v, {frame('m', 'column', 10, 10, 'max')} AS m FROM (
   SELECT survey_id, r, c, v, {frame('v', 'row', 10, 10, 'max')} AS m FROM ndsm)""")
