@@ -9,8 +9,8 @@ similar text stands in at least ``T`` of the text's inverted lists. The search r
 2. What is left is dealt into blocks of whole texts, each with its own inverted lists. In a block a query merges
    its short lists, keeps those that occur often enough, and probes the long lists for them by
    binary search. First every block is searched with its own texts.
-3. Two similar texts share one of each other's first ``n - T + 1`` shingles in any order of all; long lists come last. Where a
-   list of these still holds several components, all but those of its commonest component are sent as queries to the blocks that the list touches. Texts of one
+3. Two similar texts share one of each other's ``n - T + 1`` rarest shingles. Where a list of these still holds several
+   components, all but those of its commonest component are sent as queries to the blocks that the list touches. Texts of one
    component needn't be compared again, so a large group of near copies makes no pairs.
 """
 
@@ -37,8 +37,6 @@ SMALL = 64
 BLOCK_SHINGLES, BLOCK_TEXTS = 2_000_000, 8_192
 # Probed shingles of a group of lists on average, and bytes of text that are hashed together.
 BUCKET_ENTRIES, SLICE_BYTES = 100_000, 16 << 20
-# Texts of a list that is looked at after the shorter ones.
-LONG_LIST = 64
 # Weight of a merged list entry against a binary probe: DivideSkip sets T / (MU * log2(longest) + 1) lists aside.
 MU = 0.01
 
@@ -130,6 +128,65 @@ def block_roots(sets: DataFrame, percent: int) -> DataFrame:
     return sets.groupBy("block").applyInArrow(work, "node long, root long")
 
 
+def list_lengths(sets: DataFrame) -> DataFrame:
+    """``(to, shingles, lengths)``: for every block of ``(node, block, shingles)`` the shingles it holds and their lists' lengths over all blocks.
+
+    A block sends each of its shingles once with its own count, so texts alike in one block cost what one of them does.
+    """
+    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    buckets = max(1, total // BLOCK_SHINGLES)
+
+    def counted(table: pa.Table) -> pa.Table:
+        shingles, counts = np.unique(np.concatenate(as_sets(table.column("shingles"))), return_counts=True)
+        bucket = (shingles % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        parts = [p for p in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(p)]
+        return pa.table({
+            "bucket": pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), "block": pa.array([table.column("block")[0].as_py()] * len(parts), pa.int64()),
+            "shingles": pa.array([shingles[p].tobytes() for p in parts], pa.binary()), "counts": pa.array([counts[p].astype(np.int64).tobytes() for p in parts], pa.binary()),
+        })
+
+    def summed(table: pa.Table) -> pa.Table:
+        shingles = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("shingles")]
+        counts = np.concatenate([np.frombuffer(b.as_py(), np.int64) for b in table.column("counts")])
+        keys, place = np.unique(np.concatenate(shingles), return_inverse=True)
+        lengths = np.bincount(place, counts, len(keys)).astype(np.int64)[place]
+        ends = np.cumsum([len(s) for s in shingles])
+        return pa.table({
+            "to": table.column("block"), "shingles": table.column("shingles"),
+            "lengths": pa.array([part.tobytes() for part in np.split(lengths, ends[:-1])], pa.binary()),
+        })
+
+    counts = sets.groupBy("block").applyInArrow(counted, "bucket long, block long, shingles binary, counts binary")
+    return counts.groupBy("bucket").applyInArrow(summed, "to long, shingles binary, lengths binary")
+
+
+def roots_and_short_lists(sets: DataFrame, lengths: DataFrame, percent: int) -> DataFrame:
+    """``(node, block, root, short)``: the root within the block, and the text's first ``n - T + 1`` shingles, those of the shortest lists.
+
+    Lists of one text are left out of ``short``.
+    """
+
+    def work(table: pa.Table, known: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"node": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "short": pa.array([], pa.list_(pa.int64()))})
+        keys, length = (np.concatenate([np.frombuffer(b.as_py(), kind) for b in known.column(c)]) for c, kind in (("known", np.uint64), ("lengths", np.int64)))
+        order = np.argsort(keys)
+        keys, length = keys[order], length[order]
+        texts, short = as_sets(table.column("shingles")), []
+        for own in texts:
+            df = length[np.searchsorted(keys, own)]
+            first = np.lexsort((own, df))[: len(own) - occurrences_needed(len(own), percent) + 1]
+            short.append(own[first[df[first] > 1]].view(np.int64))
+        nodes = table.column("node").to_numpy()
+        return pa.table({
+            "node": nodes, "block": table.column("block"), "root": nodes[local_components(texts, percent)], "short": pa.array(short, pa.list_(pa.int64())),
+        })
+
+    known = lengths.select("to", F.col("shingles").alias("known"), "lengths")
+    return sets.groupBy("block").cogroup(known.groupBy("to")).applyInArrow(work, "node long, block long, root long, short array<long>")
+
+
 def routed_links(index: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
     """``(a, b)``: roots that a query and a text of another component connect.
 
@@ -285,24 +342,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     sets = in_batches(texts, whole, "node long, shingles array<long>", max_bytes=2 << 20)
     sets = cut_lineage(sets.join(bounded_broadcast(alive), "node", "left_semi").dropDuplicates(["node"]))
 
-    # every text's first n - T + 1 lists in one order of all lists: short ones by their hash, then the long ones
-    entries = sets.select("node", F.explode("shingles").alias("shingle"))
-    long = cut_lineage(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > LONG_LIST).select("shingle"))
-    met = entries.join(bounded_broadcast(long), "shingle").groupBy("node").agg(F.array_sort(F.collect_list("shingle")).alias("long"))
-    none, n = F.array().cast("array<long>"), F.size("shingles")
-    ordered = F.concat(F.array_except("shingles", F.coalesce("long", none)), F.coalesce("long", none))
-    first = F.slice(ordered, F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
-    rare = cut_lineage(sets.join(met, "node", "left").select("node", first.alias("short")))
     sets = cut_lineage(dealt_into_blocks(sets, 0))
-
-    roots = cut_lineage(block_roots(sets, percent))
+    rare = cut_lineage(roots_and_short_lists(sets, list_lengths(sets), percent))
+    roots = rare.select("node", "root")
     # one text a component, dealt anew: large groups that lay in several blocks come together
     if sets.select("block").distinct().limit(2).count() > 1:
         heads = sets.drop("block").join(roots.select("root").distinct().withColumnRenamed("root", "node"), "node", "left_semi")
         higher = cut_lineage(block_roots(dealt_into_blocks(cut_lineage(heads), 1), percent).withColumnRenamed("root", "top"))
         roots = cut_lineage(roots.join(higher.withColumnRenamed("node", "root"), "root").select("node", F.col("top").alias("root")))
 
-    placed = rare.join(roots, "node").join(sets.select("node", "block"), "node")
+    placed = rare.drop("root").join(roots, "node")
     listed = cut_lineage(placed.select("node", "root", "block", F.explode("short").alias("shingle")))
     each = listed.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("texts"))
     mixed = each.groupBy("shingle").agg(F.max_by("root", F.struct("texts", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
