@@ -34,9 +34,9 @@ PROBED = 0.3
 # Texts of at most so many shingles are told apart by all of them.
 SMALL = 64
 # Shingles and texts of a block at most, unless one text alone has more.
-BLOCK_SHINGLES, BLOCK_TEXTS = 2_000_000, 8_192
+BLOCK_SHINGLES, BLOCK_TEXTS = 500_000, 8_192
 # Probed shingles of a group of lists on average, and bytes of text that are hashed together.
-BUCKET_ENTRIES, SLICE_BYTES = 100_000, 16 << 20
+BUCKET_ENTRIES, SLICE_BYTES = 100_000, 8 << 20
 # Weight of a merged list entry against a binary probe: DivideSkip sets T / (MU * log2(longest) + 1) lists aside.
 MU = 0.01
 
