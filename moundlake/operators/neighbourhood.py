@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from moundlake.operators.graph import connected_components
+from moundlake.runtime import cut_lineage
+
 # Frames up to this length are re-evaluated per row; longer ones use two scans.
 DIRECT_FRAME = 16
 
@@ -178,6 +181,26 @@ def local_maxima(df: DataFrame, value: str, distance: int, out: str = "is_peak")
     ).drop("_m", "_inner")
 
 
+def plateau_tops(cells: DataFrame, value: str) -> DataFrame:
+    """One of the given cells for every plateau of theirs, its first: neighbours (also at corners) of equal value are one plateau.
+
+    ``cells`` are few, such as the local maxima of a raster.
+    """
+    cells = cut_lineage(cells)
+    number = F.shiftleft(F.col("r").cast("long"), 32) + F.col("c")
+    named = cells.select("survey_id", "r", "c", F.col(value).alias("_v"), number.alias("a"))
+    steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    beside = named.select("survey_id", "_v", "a", "r", "c", F.explode(steps).alias("s")).select(
+        "survey_id", "_v", "a", (F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c")
+    )
+    edges = beside.join(named.select("survey_id", "_v", "r", "c", F.col("a").alias("b")), ["survey_id", "_v", "r", "c"]).select("survey_id", "a", "b")
+    edges = cut_lineage(edges)
+    if edges.isEmpty():
+        return cells
+    later = connected_components(edges).where("node <> root").select("survey_id", F.col("node").alias("_number"))
+    return cells.withColumn("_number", number).join(later, ["survey_id", "_number"], "left_anti").drop("_number")
+
+
 def block_min(df: DataFrame, value: str, factor: Column | int) -> DataFrame:
     """Block-reduced minimum; ragged blocks at the edges use the cells they have."""
     f = F.lit(factor) if isinstance(factor, int) else factor

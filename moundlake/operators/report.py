@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from moundlake.functions.formats import percent_text
 from moundlake.runtime import bounded_broadcast, broadcast_aggregate, cut_lineage
+from moundlake.sinks.versions import VersionedTables
 
 
 # ---- filters -------------------------------------------------------------
@@ -219,24 +220,52 @@ def cascade_delete(projects: DataFrame, surveys: DataFrame, heaps: DataFrame, do
     return kept_projects, kept_surveys, heaps.join(lost_surveys, "survey_id", "left_anti")
 
 
-def nearest_reference(heaps: DataFrame, references: DataFrame) -> DataFrame:
-    """Nearest reference heap of each heap by centroid, within the survey.
+def nearest_reference(heaps: DataFrame, references: DataFrame, per_block: float = 2.0) -> DataFrame:
+    """Nearest reference heap of each heap by centroid, within the survey; ties go to the smaller id.
 
-    References are the known heaps of a survey; the pair count is heaps times
-    references of one survey, reduced map-side by ``min_by``.
+    Both sides meet in square blocks, sized so that one holds ``per_block`` references of its survey on average. A heap looks at the three by
+    three blocks around it and is settled when the best of them is no farther than a block is wide, as all others are.
+    Only heaps that aren't look again with blocks twice as wide.
     """
-    d2 = (F.col("centroid_e") - F.col("ref_e")) * (F.col("centroid_e") - F.col("ref_e")) + (
-        F.col("centroid_n") - F.col("ref_n")
-    ) * (F.col("centroid_n") - F.col("ref_n"))
-    return (
-        heaps.join(bounded_broadcast(references), "survey_id")
-        .withColumn("_d2", d2)
-        .groupBy("survey_id", "heap_id")
-        .agg(
-            F.min_by("ref_id", F.struct("_d2", "ref_id")).alias("ref_id"),
-            F.round(F.sqrt(F.min("_d2")), 6).alias("distance_m"),
-        )
+    extent = references.groupBy("survey_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.greatest(F.max("ref_e") - F.min("ref_e"), F.max("ref_n") - F.min("ref_n")).alias("_side")
+    )
+    reach = heaps.groupBy("survey_id").agg(
+        F.min("centroid_e").alias("_e1"), F.max("centroid_e").alias("_e2"), F.min("centroid_n").alias("_n1"), F.max("centroid_n").alias("_n2")
+    )
+    around = references.groupBy("survey_id").agg(
+        F.min("ref_e").alias("_f1"), F.max("ref_e").alias("_f2"), F.min("ref_n").alias("_m1"), F.max("ref_n").alias("_m2")
+    )
+    # no heap is farther from a reference than the side of the square around all of a survey's
+    farthest = F.greatest(
+        F.greatest("_e2", "_f2") - F.least("_e1", "_f1"), F.greatest("_n2", "_m2") - F.least("_n1", "_m1"), F.lit(1.0)
     )
+    width = F.greatest(F.col("_side") / F.sqrt(F.col("_n") / F.lit(per_block)), farthest / 2.0**30, F.lit(1e-6))
+    sizes = extent.join(reach, "survey_id").join(around, "survey_id").select("survey_id", width.alias("_width"), farthest.alias("_all"))
+    sizes = broadcast_aggregate(sizes)
+    known = references.select("survey_id", "ref_id", "ref_e", "ref_n").join(sizes, "survey_id")
+    left = heaps.select("survey_id", "heap_id", "centroid_e", "centroid_n").join(sizes, "survey_id")
+    block = lambda at, scale: F.floor(F.col(at) / (F.col("_width") * scale)).cast("long")
+    done, scale = None, 1.0
+    while True:
+        steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+        asked = left.withColumn("bx", F.explode(F.transform(steps, lambda k: block("centroid_e", scale) + k))).withColumn(
+            "by", F.explode(F.transform(steps, lambda k: block("centroid_n", scale) + k))
+        )
+        here = known.select("survey_id", "ref_id", "ref_e", "ref_n", block("ref_e", scale).alias("bx"), block("ref_n", scale).alias("by"))
+        de, dn = F.col("centroid_e") - F.col("ref_e"), F.col("centroid_n") - F.col("ref_n")
+        found = asked.join(here, ["survey_id", "bx", "by"]).groupBy("survey_id", "heap_id").agg(
+            F.min(F.struct((de * de + dn * dn).alias("d2"), "ref_id")).alias("best")
+        )
+        met = cut_lineage(left.join(found, ["survey_id", "heap_id"], "left"))
+        whole = F.col("_width") * scale >= F.col("_all")
+        settled = F.coalesce(F.sqrt("best.d2") <= F.col("_width") * scale, F.lit(False)) | whole
+        near = met.where(settled).select("survey_id", "heap_id", F.col("best.ref_id").alias("ref_id"), F.round(F.sqrt("best.d2"), 6).alias("distance_m"))
+        done = near if done is None else done.unionByName(near)
+        left = met.where(~settled).drop("best")
+        if left.isEmpty():
+            return done
+        scale *= 2
 
 
 def replace_rows(table: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
@@ -244,6 +273,23 @@ def replace_rows(table: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFra
     return table.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
 
 
+def replace_bases(tables: VersionedTables, fresh: DataFrame) -> int:
+    """New base elevations ``(survey_id, base)`` and the volumes over them, for the heaps and surveys of ``tables``, as one commit.
+
+    A volume changes by its area times the rise of the base and doesn't fall below zero. Until the commit is whole, readers
+    see heaps and bases as they were.
+    """
+    ids = fresh.select("survey_id").distinct()
+    old = tables.read("surveys", only=ids.withColumn("part", F.lit(0)))
+    bases = old.join(fresh.select("survey_id", F.col("base").alias("_base")), "survey_id")
+    moved = bases.select("survey_id", (F.col("_base") - F.col("base")).alias("_rise"))
+    heaps = tables.read("heaps", only=ids.withColumn("part", F.lit(0))).join(bounded_broadcast(moved), "survey_id")
+    volume = F.round(F.greatest(F.col("volume_m3") - F.col("_rise") * F.col("planimetric_area_m2"), F.lit(0.0)), 6)
+    return tables.commit({
+        "heaps": heaps.withColumn("volume_m3", volume).drop("_rise"), "surveys": bases.withColumn("base", F.col("_base")).drop("_base"),
+    })
+
+
 def restore_snapshot(table: DataFrame, delete_ids: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Undo: drop the given ids, put the saved rows back."""
     return table.join(delete_ids, "heap_id", "left_anti").unionByName(snapshot)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moundlake.operators import compare
@@ -49,18 +49,45 @@ def compare_surveys(
     return Comparison(iou, matched, removed, added, changes, compare.match_summary(changes, a, b, pairs))
 
 
+def heap_chains(links: DataFrame, heaps: DataFrame) -> DataFrame:
+    """``(survey_id, heap_id, chain_survey, chain_heap, step)``: the first heap of each heap's chain of matches and the links to it.
+
+    ``links(survey_a, heap_a, survey_b, heap_b)`` lead from a heap to the one it became, one at most on either side. Pointer doubling: every
+    round a heap takes over the place its own place points to, so rounds grow with the logarithm of the number of surveys.
+    """
+    before = links.select(
+        F.col("survey_b").alias("survey_id"), F.col("heap_b").alias("heap_id"), F.col("survey_a").alias("chain_survey"), F.col("heap_a").alias("chain_heap")
+    )
+    known = heaps.select("survey_id", "heap_id").join(before, ["survey_id", "heap_id"], "left").select(
+        "survey_id", "heap_id", F.coalesce("chain_survey", "survey_id").alias("chain_survey"), F.coalesce("chain_heap", "heap_id").alias("chain_heap"),
+        F.col("chain_survey").isNotNull().cast("int").alias("step"),
+    )
+    known = cut_lineage(known)
+    while True:
+        ahead = known.where("step > 0").select(
+            F.col("survey_id").alias("chain_survey"), F.col("heap_id").alias("chain_heap"),
+            F.col("chain_survey").alias("_survey"), F.col("chain_heap").alias("_heap"), F.col("step").alias("_step"),
+        )
+        joined = known.join(ahead, ["chain_survey", "chain_heap"], "left")
+        known = cut_lineage(joined.select(
+            "survey_id", "heap_id", F.coalesce("_survey", "chain_survey").alias("chain_survey"), F.coalesce("_heap", "chain_heap").alias("chain_heap"),
+            (F.col("step") + F.coalesce("_step", F.lit(0))).alias("step"), F.col("_step").isNotNull().alias("moved"),
+        ))
+        if known.where("moved").isEmpty():
+            return known.drop("moved")
+
+
 def volume_timeline(changes: DataFrame, heaps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Volume of each heap at its survey with the volume of the heap it was matched to before.
+    """Volume of each heap at each survey along its chain of matches, with the change since the survey before and since the first.
 
-    ``pairs`` hold consecutive surveys of a site; the chain is followed by joining
-    each heap to its predecessor.
+    ``pairs`` hold consecutive surveys of a site, any number of them. A heap that is lost and found again starts a new chain.
     """
     links = changes.where("heap_a is not null and heap_b is not null").join(bounded_broadcast(pairs), "pair_id")
-    before = heaps.select(
-        F.col("survey_id").alias("survey_a"), F.col("heap_id").alias("heap_a"), F.col("volume_m3").alias("previous_m3")
-    )
-    linked = links.select("survey_a", "heap_a", F.col("survey_b").alias("survey_id"), F.col("heap_b").alias("heap_id"))
-    return heaps.join(linked.join(before, ["survey_a", "heap_a"]), ["survey_id", "heap_id"], "left").select(
-        "survey_id", "heap_id", "volume_m3", F.col("heap_a").alias("previous_heap_id"), "previous_m3",
-        F.round(F.col("volume_m3") - F.col("previous_m3"), 6).alias("delta_m3"),
+    chains = heap_chains(links.select("survey_a", "heap_a", "survey_b", "heap_b"), heaps)
+    along = Window.partitionBy("chain_survey", "chain_heap").orderBy("step")
+    volume = F.col("volume_m3")
+    return heaps.select("survey_id", "heap_id", "volume_m3").join(chains, ["survey_id", "heap_id"]).select(
+        "survey_id", "heap_id", "volume_m3", "chain_survey", "chain_heap", "step", F.lag("heap_id").over(along).alias("previous_heap_id"),
+        F.lag(volume).over(along).alias("previous_m3"), F.round(volume - F.lag(volume).over(along), 6).alias("delta_m3"),
+        F.round(volume - F.first(volume).over(along), 6).alias("since_first_m3"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from moundlake.functions import cells as cx
@@ -9,7 +11,7 @@ from moundlake.operators import neighbourhood as nb
 from moundlake.operators import profile, pyramid, segments, surface, tiles, watershed, zonal
 from moundlake.operators.quantiles import group_percentile
 from moundlake.plans.process import Config, process
-from moundlake.runtime import bounded_broadcast, cut_lineage
+from moundlake.runtime import bounded_broadcast, ensure_checkpoint_dir
 from moundlake.sources import points as sp
 from moundlake.sources import rasters as sr
 from moundlake.workload import adapter, stages
@@ -73,18 +75,49 @@ def src_04(spark, d):
     return sp.bounds(_meta(spark, d))
 
 
-HEADERS_SQL = """
-SELECT survey_id, CASE WHEN survey_id % 2 = 1 THEN 32632 END AS epsg,
-  CASE WHEN survey_id % 2 = 0 THEN 'PROJCS["UTM 32N"]' END AS wkt FROM grid"""
+def las_files(spark, d) -> str:
+    """Folder of LAS files made from the points, of both ways to name a CRS; once per session and data folder."""
+
+    def write():
+        ensure_checkpoint_dir(spark)
+        folder = f"{spark.sparkContext.getCheckpointDir()}/las-{uuid.uuid4().hex}"
+        pts = adapter.points(spark, d)
+        odd = sp.write_las(pts.where("survey_id % 2 = 1"), folder, epsg=32632, records_per_file=100_000)
+        even = sp.write_las(pts.where("survey_id % 2 = 0"), folder, records_per_file=100_000)
+        return odd.unionByName(even)
+
+    written = stages._once(spark, d, "las", write)
+    return written.select(F.regexp_extract("path", "^(.*)/", 1).alias("f")).first()["f"]
+
+
+def las_survey():
+    """Survey id from the name of a written file."""
+    return F.regexp_extract("path", "survey-([0-9]+)-", 1).cast("long")
 
 
-@register("SRC-05", query(f"""
-SELECT survey_id, coalesce('EPSG:' || CAST(epsg AS VARCHAR), wkt) AS crs FROM ({HEADERS_SQL})""", "grid"))
+@register("SRC-05", query("""
+SELECT survey_id, CASE WHEN survey_id % 2 = 1 THEN 'EPSG:32632' END AS crs, '1.2' AS version, 0 AS format, count(*) AS point_count,
+  round(min(500000e0 + (u + 0.5e0)*0.05e0), 3) AS min_x, round(max(5000000e0 + (v + 0.5e0)*0.05e0), 3) AS max_y FROM pts GROUP BY 1""", "pts"))
 def src_05(spark, d):
-    g = stages.grids(spark, d)
-    odd = F.col("survey_id") % 2 == 1
-    headers = g.select("survey_id", F.when(odd, 32632).alias("epsg"), F.when(~odd, 'PROJCS["UTM 32N"]').alias("wkt"))
-    return headers.select("survey_id", sp.crs_of(F.col("epsg"), F.col("wkt")).alias("crs"))
+    """CRS, format and bounds from the headers of LAS files."""
+    headers = sp.las_headers(spark, las_files(spark, d)).withColumn("survey_id", las_survey())
+    crs = sp.header_crs(headers).distinct()
+    return headers.groupBy("survey_id", "version", "format").agg(
+        F.sum("count").alias("point_count"), F.round(F.min("min_x"), 3).alias("min_x"), F.round(F.max("max_y"), 3).alias("max_y")
+    ).join(crs, "survey_id")
+
+
+@register("SRC-01-las", query("""
+SELECT survey_id, cls AS classification, count(*) AS points, CAST(sum(z_mm) AS BIGINT) AS sum_z_mm,
+  round(min(500000e0 + (u + 0.5e0)*0.05e0), 3) AS min_x FROM pts GROUP BY 1, 2""", "pts"))
+def src_01_las(spark, d):
+    """Full scan of LAS files in ranges of records."""
+    folder = las_files(spark, d)
+    names = sp.las_headers(spark, folder).select(F.col("survey_id").alias("file_id"), las_survey().alias("survey_id"))
+    pts = sp.read_las(spark, folder, records_per_split=20_000).withColumnRenamed("survey_id", "file_id")
+    return pts.join(bounded_broadcast(names), "file_id").groupBy("survey_id", "classification").agg(
+        F.count(F.lit(1)).alias("points"), F.sum(F.round(F.col("z") * 1000).cast("long")).alias("sum_z_mm"), F.round(F.min("x"), 3).alias("min_x")
+    )
 
 
 @register("SRC-06", query("""
@@ -474,11 +507,45 @@ SELECT survey_id, r, c, v, {frame('m', 'column', 10, 10, 'max')} AS m FROM (
   SELECT survey_id, r, c, v, {frame('v', 'row', 10, 10, 'max')} AS m FROM ndsm)""")
 
 
+step("tops", ("box_max", "grid"), """
+SELECT survey_id, r, c, v, row_number() OVER (PARTITION BY survey_id ORDER BY r, c) AS k FROM box_max JOIN grid USING (survey_id)
+WHERE v = m AND v > 0 AND r >= 10 AND c >= 10 AND r < h - 10 AND c < w - 10""")
+step("rec_plateau", ("tops",), """
+SELECT survey_id, k AS x, k AS y FROM tops
+UNION SELECT p.survey_id, p.x, b.k FROM rec_plateau p JOIN tops a ON a.survey_id = p.survey_id AND a.k = p.y
+JOIN tops b ON b.survey_id = a.survey_id AND b.v = a.v AND abs(b.r - a.r) <= 1 AND abs(b.c - a.c) <= 1""")
+
+
 @register("WIN-09", query("""
-SELECT survey_id, r, c, v FROM box_max JOIN grid USING (survey_id)
-WHERE v = m AND v > 0 AND r >= 10 AND c >= 10 AND r < h - 10 AND c < w - 10""", "box_max", "grid"))
+SELECT survey_id, r, c, v FROM tops JOIN (SELECT survey_id, x AS k FROM rec_plateau GROUP BY 1, 2 HAVING min(y) = x) USING (survey_id, k)""",
+    "tops", "rec_plateau"))
 def win_09(spark, d):
-    return nb.local_maxima(stages.height(spark, d), "v", 10).where("is_peak").select(*CELL, "v")
+    """One peak a plateau."""
+    peaks = nb.local_maxima(stages.height(spark, d), "v", 10).where("is_peak").select(*CELL, "v")
+    return nb.plateau_tops(peaks, "v")
+
+
+step("low_box", ("ndsm",), f"""
+SELECT survey_id, r, c, v, {frame('m', 'column', 1, 1, 'max')} AS m FROM (
+  SELECT survey_id, r, c, v, {frame('v', 'row', 1, 1, 'max')} AS m FROM (SELECT survey_id, r, c, floor(v*2)/2e0 AS v FROM ndsm))""")
+step("low_tops", ("low_box", "grid"), """
+SELECT survey_id, r, c, v, row_number() OVER (PARTITION BY survey_id ORDER BY r, c) AS k FROM low_box JOIN grid USING (survey_id)
+WHERE v = m AND v > 0 AND r >= 1 AND c >= 1 AND r < h - 1 AND c < w - 1""")
+step("low_beside", ("low_tops",), """
+SELECT a.survey_id, a.k AS x, b.k AS y FROM low_tops a JOIN low_tops b
+  ON a.survey_id = b.survey_id AND b.v = a.v AND abs(b.r - a.r) <= 1 AND abs(b.c - a.c) <= 1""")
+step("rec_low", ("low_tops", "low_beside"), """
+SELECT survey_id, k AS x, k AS y FROM low_tops
+UNION SELECT q.survey_id, q.x, t.y FROM rec_low q JOIN low_beside t ON t.survey_id = q.survey_id AND t.x = q.y""")
+
+
+@register("WIN-09-plateaus", query("""
+SELECT survey_id, r, c, v FROM low_tops JOIN (SELECT survey_id, x AS k FROM rec_low GROUP BY 1, 2 HAVING min(y) = x) USING (survey_id, k)""",
+    "low_tops", "rec_low"))
+def win_09_plateaus(spark, d):
+    """Heights in steps of half a metre have wide plateaus: each gives one peak."""
+    steps = stages.height(spark, d).withColumn("v", F.floor(F.col("v") * 2) / 2.0)
+    return nb.plateau_tops(nb.local_maxima(steps, "v", 1).where("is_peak").select(*CELL, "v"), "v")
 
 
 # ---- segmentation --------------------------------------------------------

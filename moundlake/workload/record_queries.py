@@ -486,12 +486,18 @@ def snk_06(spark, d):
 
 
 @register("SNK-07", query("""
-SELECT survey_id, heap_id, CASE WHEN heap_id % 5 = 0 THEN volume_m3 + 10 ELSE volume_m3 END AS volume_m3 FROM heaps""", "heaps"))
+SELECT h.survey_id, heap_id, CASE WHEN h.survey_id % 5 = 0 THEN round(greatest(volume_m3 - 0.25e0*planimetric_area_m2, 0e0), 6) ELSE volume_m3 END AS volume_m3,
+  CASE WHEN h.survey_id % 5 = 0 THEN 100.25e0 ELSE 100e0 END AS base FROM heaps h""", "heaps"))
 def snk_07(spark, d):
-    """Batch update: rows with new volumes replace the old ones."""
-    heaps = heap_records(spark, d).select("survey_id", "heap_id", "volume_m3")
-    fresh = heaps.where("heap_id % 5 = 0").withColumn("volume_m3", F.col("volume_m3") + 10)
-    return report.replace_rows(heaps, fresh, ["survey_id", "heap_id"])
+    """Every fifth survey gets a new base elevation: its heaps and its base are replaced in one commit."""
+    ensure_checkpoint_dir(spark)
+    tables = VersionedTables(spark, f"{spark.sparkContext.getCheckpointDir()}/bases-{uuid.uuid4().hex}")
+    heaps = heap_records(spark, d).select("survey_id", F.lit(0).alias("part"), "heap_id", "volume_m3", "planimetric_area_m2")
+    bases = heaps.select("survey_id", "part").distinct().withColumn("base", F.lit(100.0))
+    tables.commit({"heaps": heaps, "surveys": bases})
+    chosen = bases.where("survey_id % 5 = 0").select("survey_id", F.lit(100.25).alias("base"))
+    report.replace_bases(tables, chosen)
+    return tables.read("heaps").join(tables.read("surveys"), ["survey_id", "part"]).select("survey_id", "heap_id", "volume_m3", "base")
 
 
 @register("SNK-08", query("""

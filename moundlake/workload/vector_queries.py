@@ -555,14 +555,37 @@ def spc_04(spark, d):
     )
 
 
+# four surveys a site: baseline, later one, the baseline's state again, the later one's again (ids + 100)
+step("series", ("site_metrics",), """
+SELECT survey_id, heap_id, volume_m3 FROM site_metrics UNION ALL SELECT survey_id + 100, heap_id, volume_m3 FROM site_metrics""")
+step("series_link", ("matched",), """
+SELECT 2*pair_id + 1 AS survey_a, heap_a, 2*pair_id + 2 AS survey_b, heap_b FROM matched
+UNION ALL SELECT 2*pair_id + 2, heap_b, 2*pair_id + 101, heap_a FROM matched
+UNION ALL SELECT 2*pair_id + 101, heap_a, 2*pair_id + 102, heap_b FROM matched""")
+step("rec_chain", ("series", "series_link"), """
+SELECT survey_id, heap_id, survey_id AS chain_survey, heap_id AS chain_heap, 0 AS step FROM series s
+WHERE NOT EXISTS (SELECT 1 FROM series_link l WHERE l.survey_b = s.survey_id AND l.heap_b = s.heap_id)
+UNION ALL SELECT l.survey_b, l.heap_b, k.chain_survey, k.chain_heap, k.step + 1 FROM rec_chain k
+JOIN series_link l ON l.survey_a = k.survey_id AND l.heap_a = k.heap_id""")
+
+
 @register("SPC-02", query("""
-SELECT survey_id, heap_id, volume_m3, previous_heap_id, previous_m3, round(volume_m3 - previous_m3, 6) AS delta_m3 FROM (
-  SELECT s.survey_id, s.heap_id, s.volume_m3, a.heap_id AS previous_heap_id, a.volume_m3 AS previous_m3 FROM site_metrics s
-  LEFT JOIN matched m ON s.survey_id % 2 = 0 AND m.pair_id = s.pair_id AND m.heap_b = s.heap_id
-  LEFT JOIN site_metrics a ON a.pair_id = m.pair_id AND a.heap_id = m.heap_a AND a.survey_id % 2 = 1)""", "matched", "site_metrics"))
+SELECT survey_id, heap_id, volume_m3, chain_survey, chain_heap, step, lag(heap_id) OVER w AS previous_heap_id, lag(volume_m3) OVER w AS previous_m3,
+  round(volume_m3 - lag(volume_m3) OVER w, 6) AS delta_m3, round(volume_m3 - first_value(volume_m3) OVER w, 6) AS since_first_m3
+FROM rec_chain JOIN series USING (survey_id, heap_id) WINDOW w AS (PARTITION BY chain_survey, chain_heap ORDER BY step)""", "rec_chain", "series"))
 def spc_02(spark, d):
-    heaps, pairs = _heaps(spark, d), site_pairs(spark, d)
-    return volume_timeline(_comparison(spark, d).changes, heaps.select("survey_id", "heap_id", "volume_m3"), pairs)
+    """Volume of every heap along its chain of matches over four surveys a site; what is lost and found again is a new chain."""
+    again = lambda df: df.unionByName(df.withColumn("survey_id", F.col("survey_id") + 100))
+    heaps = again(_heaps(spark, d))
+    site = F.expr("(survey_a - 1) div 2 * 10")
+    first = site_pairs(spark, d).drop("pair_id")
+    steps = ((0, "survey_a", "survey_b"), (1, "survey_b", "survey_a + 100"), (2, "survey_a + 100", "survey_b + 100"))
+    pairs = [first.select((site + k).alias("pair_id"), F.expr(a).alias("survey_a"), F.expr(b).alias("survey_b")) for k, a, b in steps]
+    pairs = pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
+    cells = again(stages.labels(spark, d))
+    side = lambda s: cells.join(bounded_broadcast(pairs), F.col("survey_id") == F.col(s)).select("pair_id", "r", "c", "heap_id")
+    compared = compare_surveys(heaps, pairs, iou=compare.raster_iou(side("survey_a"), side("survey_b")))
+    return volume_timeline(compared.changes, heaps.select("survey_id", "heap_id", "volume_m3"), pairs)
 
 
 @register("SPC-01", query("""

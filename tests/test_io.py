@@ -47,18 +47,55 @@ def test_las_source_reads_all_record_ranges(spark, tmp_path, version, fmt):
     cls = rng.integers(0, 4, 1000)
     for name in ("a.las", "b.las"):
         write_las(tmp_path / name, xyz, cls, version, fmt)
-    df = points.read_las(spark, str(tmp_path / "*.las"), recordsPerSplit="300", firstSurveyId="5")
-    assert df.rdd.getNumPartitions() == 8
+    df = points.read_las(spark, str(tmp_path / "*.las"), records_per_split=300, first_id=5)
     rows = df.where("survey_id = 6").orderBy("point_index").collect()
     assert np.allclose([[r["x"], r["y"], r["z"]] for r in rows], xyz, atol=1e-6)
     assert [r["classification"] for r in rows] == cls.tolist()
     assert points.metadata(df).count() == 2
-
-
-def test_a_broken_las_file_is_an_error(tmp_path):
-    (tmp_path / "x.las").write_bytes(b"not a cloud")
-    with pytest.raises(ValueError):
-        points.las_header(str(tmp_path / "x.las"))
+    heads = points.las_headers(spark, str(tmp_path)).orderBy("path").collect()
+    assert [(h["survey_id"], h["count"], h["format"], h["error"]) for h in heads] == [(1, 1000, fmt, None), (2, 1000, fmt, None)]
+
+
+def test_las_files_written_and_read_back(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(s, float(x), float(y), float(z), int(c)) for s in (3, 4) for (x, y, z), c in zip(
+        np.round(rng.random((500, 3)) * 50 + [600_000, 4_900_000, 80], 3), rng.integers(0, 3, 500), strict=True)]
+    df = spark.createDataFrame(rows, "survey_id long, x double, y double, z double, classification int")
+    done = points.write_las(df.where("survey_id = 3"), str(tmp_path / "out"), epsg=25832, records_per_file=200).collect()
+    done += points.write_las(df.where("survey_id = 4"), str(tmp_path / "out"), records_per_file=10_000).collect()
+    assert sum(r["points"] for r in done) == 1000 and len({r["path"] for r in done}) == len(done) >= 4
+    folder = str(tmp_path / "out")
+    back = points.read_las(spark, folder, records_per_split=70)
+    key = ["x", "y", "z", "classification"]
+    rounded = lambda d: sorted((round(r[0], 3), round(r[1], 3), round(r[2], 3), r[3]) for r in d.select(*key).collect())
+    assert rounded(back) == rounded(df)
+    crs = {r["survey_id"]: r["crs"] for r in points.header_crs(points.las_headers(spark, folder)).collect()}
+    heads = points.las_headers(spark, folder).collect()
+    assert {crs[h["survey_id"]] for h in heads if "00000003" in h["path"]} == {"EPSG:25832"} and all(crs[h["survey_id"]] is None for h in heads if "00000004" in h["path"])
+    low = min(h["min_z"] for h in heads)
+    assert low == pytest.approx(min(r[3] for r in rows), abs=1e-6)
+
+
+def test_crs_records_and_broken_las_files(spark, tmp_path):
+    write_las(tmp_path / "a.las", np.array([[500001.0, 5000002.0, 3.0]]), np.array([2]))
+    plain = (tmp_path / "a.las").read_bytes()
+    wkt = b'PROJCS["UTM 32N"]\0'
+    record = struct.pack("<H16sHH32s", 0, b"LASF_Projection", 2112, len(wkt), b"") + wkt
+    head = bytearray(plain[:227])
+    struct.pack_into("<II", head, 96, 227 + len(record), 1)
+    (tmp_path / "b.las").write_bytes(bytes(head) + record + plain[227:])
+    (tmp_path / "c.las").write_bytes(b"not a cloud")
+    write_las(tmp_path / "d.las", np.zeros((0, 3)), np.zeros(0, int))
+    head[104] |= 0x80
+    (tmp_path / "e.las").write_bytes(bytes(head) + record + plain[227:])
+    (tmp_path / "f.las").write_bytes(bytes(plain[:96]) + struct.pack("<II", 227, 9) + plain[104:227])
+    heads = {h["path"][-5]: h for h in points.las_headers(spark, str(tmp_path)).collect()}
+    assert heads["a"]["error"] is None and heads["a"]["wkt"] is None and heads["b"]["wkt"] == 'PROJCS["UTM 32N"]'
+    assert heads["c"]["error"] == "not a readable LAS file" and heads["d"]["error"] == "point cloud is empty"
+    assert "compressed" in heads["e"]["error"] and "cut off" in heads["f"]["error"]
+    assert points.read_las(spark, str(tmp_path / "[abd].las")).count() == 2
+    with pytest.raises(Exception, match="not a readable LAS file"):
+        points.read_las(spark, str(tmp_path / "[ac].las")).count()
 
 
 def test_parquet_points_push_their_bounds(spark, tmp_path):
