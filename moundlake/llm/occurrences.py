@@ -374,6 +374,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     )
 
 
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the near copies: of each component the document with the least id stays.
+
+    Rows that repeat an id stay or go together, and stay if one of them stands for its component; rows
+    with a null id can't be named by a component and stay; so do all texts without words.
+    """
+    found = groups(docs, id_col, text_col, words, percent)
+    gone = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).where("NOT stays")
+    return docs.join(gone.select(F.col("doc_id").alias("gone id")), F.col(f"`{id_col}`") == F.col("gone id"), "left_anti")
+
+
 def sql(words: int = 5, percent: int = 80) -> str:
     """The same rows in DuckDB SQL, by counting the common shingles of every two texts that share one."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

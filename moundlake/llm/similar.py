@@ -1,25 +1,9 @@
-"""Near copies by the Jaccard similarity of their word shingles: an exact join over the rarest shingles of every text."""
+"""64-bit hashes of the word shingles of whole texts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
-from moundlake.llm.common import clean_texts, cut_lineage, in_batches
-from moundlake.operators.graph import connected_components
-from moundlake.runtime import bounded_broadcast
-
-# Slots of the table of shingle counts, which only orders shingles: any order gives the same links.
-SLOTS = 1 << 20
-# Texts under one shingle above which components are grown around hubs before pairs are made.
-DENSE = 64
-# Rounds of hubs at most; what they leave is compared pair by pair.
-HUB_ROUNDS = 8
+
 # Bytes hashed at a time, which bounds the memory for one very long text.
 CHUNK = 1 << 20
 
@@ -83,136 +67,3 @@ class Hasher:
 def set_hash(shingles: np.ndarray) -> int:
     """One number for equal sets."""
     return int(mixed(np.array([mixed(shingles + np.uint64(len(shingles))).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
-
-
-def slot_counts(rows: DataFrame, words: int, slots: int) -> np.ndarray:
-    """Texts under every slot, over whole texts."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts = Hasher(words), np.zeros(slots, np.int64)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                np.add.at(counts, (hasher.shingles(text) % np.uint64(slots)).astype(np.int64), 1)
-        at = np.flatnonzero(counts)
-        for a in range(0, len(at), 1 << 16):
-            part = at[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["at", "n"])
-
-    summed = rows.select("text").mapInArrow(work, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most slots rows
-    out = np.zeros(slots, np.int64)
-    out[summed.column("at").to_numpy()] = summed.column("n").to_numpy()
-    return out
-
-
-def prefix_size(n: int, least: float) -> int:
-    """Of ``n`` shingles in the common order, as many of the first as two similar texts must share one of."""
-    return n - int(np.ceil(least * n - 1e-9)) + 1 if n else 0
-
-
-def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, dense: int = DENSE, slots: int = SLOTS,
-) -> DataFrame:
-    """``(doc_id, component_id)``, one row per input row: components of texts linked at a Jaccard similarity of ``least`` or more.
-
-    Similarity is that of the sets of ``words``-word shingles (64-bit hashes) of whole lower-cased texts. All
-    texts order their shingles alike, rare ones first; two texts of similarity ``least`` share one among the first
-    ``1 - least`` of each, so a join on these few shingles finds every such pair, and all pairs
-    are verified on all shingles. Texts with equal sets are worked on as one. Where many
-    texts meet under a shingle they are first compared with one hub of theirs a round; pairs that are in one component
-    by then needn't be compared, all others are.
-
-    Defined cases: texts without words are alike; a text of fewer than ``words`` words is one shingle; null
-    ids never name a component, one of null ids only has a null id; repeated rows come back as
-    often as they went in; an empty table gives no rows.
-    """
-    rows = clean_texts(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
-    counts = slot_counts(rows, words, slots)
-    level = np.searchsorted(np.unique(counts), counts).astype(np.uint32)
-
-    def first_shingles(batch: pa.RecordBatch) -> Iterator[dict]:
-        hasher, out = Hasher(words), {"doc_id": batch.column("doc_id"), "node": [], "size": [], "first": []}
-        for text in batch.column("text").to_pylist():
-            found = hasher.shingles(text)
-            take = prefix_size(len(found), least)
-            order = np.lexsort((found, level[(found % np.uint64(slots)).astype(np.int64)]))[:take]
-            out["node"].append(set_hash(found))
-            out["size"].append(len(found))
-            out["first"].append(found[order].view(np.int64))
-        yield out
-
-    found = cut_lineage(in_batches(rows, first_shingles, "doc_id long, node long, size int, first array<long>", max_bytes=4 << 20))
-    named = cut_lineage(found.groupBy("node").agg(F.min("doc_id").alias("least_id")))
-    placed = found.select("node", "size", F.posexplode("first").alias("pos", "shingle")).dropDuplicates(["shingle", "node"])
-    under = W.partitionBy("shingle")
-    shared = cut_lineage(placed.withColumn("n", F.count(F.lit(1)).over(under)).where("n > 1").drop("n"))
-
-    def fits(a: str, b: str):
-        """Whether two texts can be similar by their sizes and by what follows this shingle, if it's the first they share."""
-        size = lambda x: F.col(f"{x}.size")
-        rest = F.least(size(a) - F.col(f"{a}.pos"), size(b) - F.col(f"{b}.pos"))
-        return (
-            (F.least(size(a), size(b)) >= least * F.greatest(size(a), size(b)) - 1e-9)
-            & (rest * (1 + least) >= least * (size(a) + size(b)) - 1e-6)
-        )
-
-    def all_shingles(batch: pa.RecordBatch) -> Iterator[dict]:
-        hasher = Hasher(words)
-        sets = [hasher.shingles(t) for t in batch.column("text").to_pylist()]
-        yield {"node": [set_hash(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]}
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """``(a, b)`` of the pairs that are similar."""
-        pairs = cut_lineage(pairs)
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        ids = cut_lineage(named.join(asked, "node").select(F.col("least_id").alias("asked id")).distinct())
-        texts = rows.join(bounded_broadcast(ids), F.col("doc_id").eqNullSafe(F.col("asked id")), "left_semi")
-        sets = cut_lineage(in_batches(texts, all_shingles, "node long, shingles array<long>", max_bytes=2 << 20).join(asked, "node", "left_semi").dropDuplicates(["node"]))
-        both = (
-            pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
-        )
-        common = F.size(F.array_intersect("left", "right"))
-        return cut_lineage(both.where(common * (1 + least) >= least * (F.size("left") + F.size("right")) - 1e-6).select("a", "b"))
-
-    def pair(a: str, b: str) -> list:
-        return [F.least(f"{a}.node", f"{b}.node").alias("a"), F.greatest(f"{a}.node", f"{b}.node").alias("b")]
-
-    edges, roots = None, None
-    for turn in range(HUB_ROUNDS + 1):
-        with_root = shared.withColumn("root", F.col("node")) if roots is None else (
-            shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        )
-        ends = [F.count(F.lit(1)).over(under).alias("n"), F.min("root").over(under).alias("low"), F.max("root").over(under).alias("high")]
-        parted = cut_lineage(with_root.select("*", *ends).where("low <> high").drop("low", "high"))
-        crowded = parted.where(F.col("n") > dense)
-        if turn == HUB_ROUNDS or crowded.isEmpty():
-            break
-        own = F.struct("node", "size", "pos", "root")
-        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "size", "pos", "root")).over(under)
-        stars = crowded.select(own.alias("x"), hub.alias("hub")).where("x.root <> hub.root").where(fits("x", "hub")).select(*pair("x", "hub")).distinct()
-        linked = verified(stars)
-        edges = linked if edges is None else cut_lineage(edges.union(linked))
-        roots = cut_lineage(components(edges))
-    left, right = parted.alias("x"), parted.alias("y")
-    rest = left.join(right, F.col("x.shingle") == F.col("y.shingle")).where("x.node < y.node AND x.root <> y.root").where(fits("x", "y"))
-    linked = verified(rest.select(*pair("x", "y")).distinct())
-    roots = components(linked if edges is None else edges.union(linked))
-    members = cut_lineage(roots.join(named, "node"))
-    naming = members.join(members.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "component_id")
-    known = named.join(naming, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
-    return found.select("doc_id", "node").join(cut_lineage(known), "node").select("doc_id", "component_id")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    return connected_components(edges.select(F.lit(0).alias("part"), "a", "b"), "part").select("node", "root")
-
-
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` without the near copies: of each group the document with the least id stays.
-
-    Rows that repeat an id stay or go together, and stay if one of them stands for its group; rows
-    with a null id can't be named by a group and stay.
-    """
-    groups = near_groups(docs, id_col, text_col, words, least)
-    gone = groups.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).where("NOT stays")
-    return docs.join(gone.select(F.col("doc_id").alias("gone id")), F.col(f"`{id_col}`") == F.col("gone id"), "left_anti")
