@@ -17,7 +17,7 @@ from moundlake.sources import rasters as sr
 from moundlake.workload import adapter, stages
 from moundlake.workload.registry import register
 from moundlake.workload.sqltext import (
-    dilate_sql, erode_sql, fill_sql, frame, gradient_sql, metrics_sql, opening_sql, query, step,
+    dilate_sql, erode_sql, fill_sql, frame, gradient_sql, metrics_sql, opening_sql, query, restate, step,
 )
 
 CELL = ["survey_id", "r", "c"]
@@ -826,3 +826,25 @@ def full_process(spark, d):
     return rounded_metrics(result.metrics, "survey_id", "heap_id", "base_elevation_m").drop(
         "bbox_min_e", "bbox_min_n", "bbox_max_e", "bbox_max_n"
     )
+
+
+# the chain once more, on the heights above the opened ground points
+step("ndsm_ground", ("dsm", "ground_open"), """
+SELECT survey_id, r, c, greatest(round(d.v - g.v, 6), 0e0) AS v FROM dsm d JOIN ground_open g USING (survey_id, r, c)""")
+restate("ground", {"ndsm": "ndsm_ground"}, [
+    "raw_mask", "er3", "opened", "di7", "closed", "runs", "touch", "rec_reach", "run_label", "labels", "edge_cells", "stats", "classed", "sloped", "metrics",
+])
+
+
+@register("process-ground", query("""
+SELECT survey_id, heap_id, volume_m3, planimetric_area_m2, surface_area_m2, max_height_m, mean_height_m, centroid_e, centroid_n, base AS base_elevation_m
+FROM metrics_ground JOIN classed_ground USING (survey_id, heap_id) JOIN (
+  SELECT survey_id, round(quantile_cont(v, 0.05), 6) AS base FROM ground_open GROUP BY 1) USING (survey_id)
+WHERE filter_code IS NULL""", "metrics_ground", "classed_ground", "ground_open"))
+def process_ground(spark, d):
+    """Points to accepted heaps with the terrain from the ground class, no base given."""
+    g = stages.grids(spark, d)
+    result = process(adapter.points(spark, d), g, Config(ground_classification_opening_m=60.0))
+    return rounded_metrics(result.metrics, "survey_id", "heap_id", "base_elevation_m").drop(
+        "bbox_min_e", "bbox_min_n", "bbox_max_e", "bbox_max_n"
+    )

@@ -6,6 +6,8 @@ where that is the simplest definition), independently of the Spark code.
 
 from __future__ import annotations
 
+import re
+
 STEPS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -13,6 +15,15 @@ def step(name: str, needs: tuple[str, ...], sql: str) -> None:
     STEPS[name] = (needs, sql.strip())
 
 
+def restate(suffix: str, roots: dict[str, str], names: list[str]) -> None:
+    """Copies of the steps ``names`` under ``<name>_<suffix>``, on other steps in place of ``roots`` and on each other."""
+    renamed = roots | {n: f"{n}_{suffix}" for n in names}
+    word = re.compile(r"\b(" + "|".join(sorted(map(re.escape, renamed), key=len, reverse=True)) + r")\b")
+    for name in names:
+        needs, sql = STEPS[name]
+        STEPS[renamed[name]] = (tuple(renamed.get(n, n) for n in needs), word.sub(lambda m: renamed[m.group()], sql))
+
+
 def query(final: str, *needs: str) -> str:
     """One statement: the steps ``needs`` and all they rest on, then ``final``."""
     order: list[str] = []
