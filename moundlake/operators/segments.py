@@ -185,8 +185,8 @@ def filter_code(area: Column, compactness: Column, std: Column, mean: Column, mi
     )
 
 
-def classify(stats: DataFrame, min_area: float = 50.0, max_area: float = 50000.0) -> DataFrame:
-    """Adds filter_code, is_filtered, filter_reason and needs_review."""
+def classify(stats: DataFrame, min_area: Column | float = 50.0, max_area: Column | float = 50000.0) -> DataFrame:
+    """Adds filter_code, is_filtered, filter_reason and needs_review; limits are numbers or columns of ``stats``."""
     area, compact, std, mean = (F.col(n) for n in ("area_m2", "compactness", "height_std", "height_mean"))
     code = filter_code(area, compact, std, mean, F.lit(min_area))
     reason = (

@@ -12,7 +12,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -89,16 +89,20 @@ def run_squares(micro: np.ndarray, rows: np.ndarray, first: np.ndarray, last: np
     return [Decimal((int(a) << 40) + (int(b) << 21) + int(c)) for a, b, c in zip(hh, hl, ll, strict=True)]
 
 
-def tiled_runs(height: DataFrame, grids: DataFrame, threshold: float, open_k: int, close_k: int, tile: int = TILE) -> DataFrame:
-    """Runs of the cleaned mask with their component inside the tile, from one exchange of the cells."""
+def tiled_runs(height: DataFrame, grids: DataFrame, threshold: Column | float, open_k: int, close_k: int, tile: int = TILE) -> DataFrame:
+    """Runs of the cleaned mask with their component inside the tile, from one exchange of the cells.
+
+    ``threshold`` is a number or a column of ``grids``.
+    """
     halo = 2 * (open_k // 2) + 2 * (close_k // 2) + 1
-    geometry = bounded_broadcast(grids.select("survey_id", "width", "height"))
+    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    geometry = bounded_broadcast(grids.select("survey_id", "width", "height", limit.cast("double").alias("_limit")))
     spread = lambda at, size: F.explode(F.sequence(
         F.greatest(F.floor((F.col(at) - halo) / tile), F.lit(0)), F.least(F.floor((F.col(at) + halo) / tile), F.floor((F.col(size) - 1) / tile))
     ))
     value = F.coalesce("v", F.lit(0.0)).alias("v")
     placed = (
-        height.join(geometry, "survey_id").select("survey_id", "r", "c", value, "width", "height", spread("r", "height").alias("tr"))
+        height.join(geometry, "survey_id").select("survey_id", "r", "c", value, "width", "height", "_limit", spread("r", "height").alias("tr"))
         .select("*", spread("c", "width").alias("tc"))
     )
     arrow = to_arrow_schema(StructType.fromDDL(RUNS))
@@ -111,7 +115,7 @@ def tiled_runs(height: DataFrame, grids: DataFrame, threshold: float, open_k: in
         full = np.zeros((tile + 2 * halo, tile + 2 * halo))
         full[rows - at[0], cols - at[1]] = v
         core = (tr * tile, min((tr + 1) * tile, raster[0]), tc * tile, min((tc + 1) * tile, raster[1]))
-        runs = tile_runs(full, at, core, raster, threshold, open_k, close_k)
+        runs = tile_runs(full, at, core, raster, cells.column("_limit")[0].as_py(), open_k, close_k)
         n = len(runs["r"])
         runs["node"] = _band_roots(runs["r"], runs["c1"], runs["c2"], raster[1]) if n else np.zeros(0, np.int64)
         runs |= {"survey_id": np.full(n, survey), "tr": np.full(n, tr), "tc": np.full(n, tc)}
@@ -138,7 +142,7 @@ def seam_edges(runs: DataFrame, tile: int) -> DataFrame:
     return below.union(left.join(right, ["survey_id", "c1", "r"]).select("survey_id", "a", "b")).where("a <> b").distinct()
 
 
-def segment(height: DataFrame, grids: DataFrame, threshold: float = 0.5, open_k: int = 3, close_k: int = 7, tile: int = TILE) -> DataFrame:
+def segment(height: DataFrame, grids: DataFrame, threshold: Column | float = 0.5, open_k: int = 3, close_k: int = 7, tile: int = TILE) -> DataFrame:
     """Runs of all heaps with ``heap_id``, numbered by their first cell: one exchange of the cells, one of the seams, then the loop."""
     runs = cut_lineage(tiled_runs(height, grids, threshold, open_k, close_k, tile))
     edges = cut_lineage(seam_edges(runs, tile))

@@ -34,7 +34,7 @@ def with_gradient(height: DataFrame, grids: DataFrame) -> DataFrame:
 def heap_metrics(
     zones: DataFrame,
     sloped: DataFrame,
-    threshold: float = 0.5,
+    threshold: Column | float = 0.5,
     keys: tuple[str, ...] = ("survey_id", "heap_id"),
     empty_centroid: str = "zero",
 ) -> DataFrame:

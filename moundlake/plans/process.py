@@ -14,9 +14,13 @@ from moundlake.runtime import bounded_broadcast, cut_lineage
 from moundlake.schema import CONFIG_DEFAULTS
 
 
+# Settings that every survey can have for itself; the others hold for a whole job.
+PER_SURVEY = ["height_threshold", "min_heap_area", "max_heap_area", "morpho_kernel_size", "ground_classification_opening_m"]
+
+
 @dataclass(frozen=True)
 class Config:
-    """Settings shared by the surveys of one job; groups of surveys run one job each."""
+    """Settings of one job; those in ``PER_SURVEY`` are the defaults of surveys without their own."""
 
     height_threshold: float = CONFIG_DEFAULTS["height_threshold"]
     min_heap_area: float = CONFIG_DEFAULTS["min_heap_area"]
@@ -48,6 +52,24 @@ class Result:
         return self.metrics.join(self.outlines(), ["survey_id", "heap_id"])
 
 
+def with_settings(grids: DataFrame, config: Config, configs: DataFrame | None) -> DataFrame:
+    """``grids`` with a column per setting in ``PER_SURVEY``: the survey's own of ``configs``, else that of ``config``.
+
+    ``configs`` is what ``parse_config`` gives; surveys whose configuration has an error are left out.
+    """
+    bare = grids.drop(*PER_SURVEY)
+    default = {n: F.lit(getattr(config, n)) for n in PER_SURVEY}
+    if configs is None:
+        return bare.withColumns(default)
+    own = [n for n in PER_SURVEY if n in configs.columns]
+    broken = configs.where("error is not null").select("survey_id") if "error" in configs.columns else None
+    if broken is not None:
+        bare = bare.join(bounded_broadcast(broken), "survey_id", "left_anti")
+    named = bounded_broadcast(configs.select("survey_id", *[F.col(n).alias(f"_{n}") for n in own]))
+    settled = {n: F.coalesce(F.col(f"_{n}"), default[n]) if n in own else default[n] for n in PER_SURVEY}
+    return bare.join(named, "survey_id", "left").withColumns(settled).drop(*[f"_{n}" for n in own])
+
+
 def terrain_rasters(
     surface_cells: DataFrame,
     points: DataFrame,
@@ -59,9 +81,9 @@ def terrain_rasters(
     """Terrain cells and the per-survey summary, by the first strategy that applies.
 
     Order: manual base, ground regions, classified points (coverage gate), automatic.
-    Survey ids are split first, so a strategy only touches the surveys that need it.
+    Survey ids are split first, so a strategy only touches the surveys that need it. ``grids`` can carry settings per survey.
     """
-    left = grids
+    left = grids if set(PER_SURVEY) <= set(grids.columns) else with_settings(grids, config, None)
     rasters, summaries = [], []
 
     def flat(bases: DataFrame) -> DataFrame:
@@ -102,7 +124,7 @@ def terrain_rasters(
         ground_only = config.use_ground_classification
         ids = bounded_broadcast(left.select("survey_id"))
         ground, covered = surface.terrain_from_points(
-            points.join(ids, "survey_id", "left_semi"), left, ground_only, config.ground_classification_opening_m
+            points.join(ids, "survey_id", "left_semi"), left, ground_only, F.col("ground_classification_opening_m")
         )
         # cells empty in the surface stay empty in the terrain
         known = surface_cells.where("v is not null").select("survey_id", "r", "c")
@@ -120,7 +142,7 @@ def terrain_rasters(
         if not rest.isEmpty():
             ids = bounded_broadcast(rest.select("survey_id"))
             part = surface_cells.join(ids, "survey_id", "left_semi")
-            opened, auto = surface.automatic_base(part, rest, config.morpho_kernel_size, config.base_percentile)
+            opened, auto = surface.automatic_base(part, rest, F.col("morpho_kernel_size"), config.base_percentile)
             rasters.append(opened)
             summaries.append(
                 summary(
@@ -141,14 +163,18 @@ def measure(height: DataFrame, grids: DataFrame, config: Config) -> tuple[DataFr
 
     ``height`` feeds the tiles and the gradient, so pass it written out. Mask, labels and statistics take one exchange of the cells.
     """
-    runs = tiles.segment(height, grids, config.height_threshold, config.open_k, config.close_k)
+    if not set(PER_SURVEY) <= set(grids.columns):
+        grids = with_settings(grids, config, None)
+    runs = tiles.segment(height, grids, F.col("height_threshold"), config.open_k, config.close_k)
     labels = tiles.run_cells(runs)
-    classified = segments.classify(tiles.run_statistics(runs, grids), config.min_heap_area, config.max_heap_area)
-    sloped = zonal.with_gradient(height, grids)
-    metrics = zonal.heap_metrics(labels, sloped, config.height_threshold)
+    limits = bounded_broadcast(grids.select("survey_id", "min_heap_area", "max_heap_area"))
+    statistics = tiles.run_statistics(runs, grids).join(limits, "survey_id")
+    classified = segments.classify(statistics, F.col("min_heap_area"), F.col("max_heap_area")).drop("min_heap_area", "max_heap_area")
+    thresholds = bounded_broadcast(grids.select("survey_id", "height_threshold"))
+    sloped = zonal.with_gradient(height, grids).join(thresholds, "survey_id")
+    metrics = zonal.heap_metrics(labels, sloped, F.col("height_threshold"))
     kept = classified.where("not is_filtered").select("survey_id", "heap_id")
-    accepted = metrics.join(kept, ["survey_id", "heap_id"])
-    return labels, classified, accepted
+    return labels, classified, metrics.join(kept, ["survey_id", "heap_id"])
 
 
 def process(
@@ -158,9 +184,17 @@ def process(
     manual: DataFrame | None = None,
     regions: DataFrame | None = None,
     imported: DataFrame | None = None,
+    configs: DataFrame | None = None,
 ) -> Result:
-    """Surface, terrain, heights, heaps and metrics for every survey in ``grids``."""
+    """Surface, terrain, heights, heaps and metrics for every survey in ``grids``, all in one job.
+
+    ``configs`` holds settings per survey (``PER_SURVEY``), ``manual_base_elevation`` among them; they come before ``config``.
+    """
     config = config or Config()
+    grids = cut_lineage(with_settings(grids, config, configs))
+    if configs is not None and "manual_base_elevation" in configs.columns:
+        own = configs.select("survey_id", F.col("manual_base_elevation").cast("double").alias("base")).where("base is not null")
+        manual = own if manual is None else own.unionByName(manual.select("survey_id", F.col("base").cast("double").alias("base")).join(own, "survey_id", "left_anti"))
     surface_cells = cut_lineage(surface.generate_surface(points, grids, imported))
     terrain, summary = terrain_rasters(surface_cells, points, grids, config, manual, regions)
     height = cut_lineage(surface.height_cells(surface_cells, terrain))

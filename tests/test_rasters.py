@@ -195,3 +195,28 @@ def test_large_opening_over_mixed_geometries(spark):
     )
     out = to_arrays(surface.large_opening(cells, g, 10.0), "v", [fine.shape, coarse.shape])
     assert (out[0] == 10).all() and (out[1] == 3).all()
+
+
+def test_every_survey_has_its_own_configuration(spark):
+    """Four surveys of one mound in one job: own threshold, own least area, a manual base, and a broken configuration."""
+    from moundlake.plans.process import Config, process
+    from moundlake.sources.documents import parse_config
+
+    r, c = np.mgrid[0:40, 0:40]
+    mound = 100 + np.maximum(0, 9 - 0.7 * np.hypot(r - 20, c - 20))
+    pts = [(s, 1000.5 + j, 2039.5 - i, float(round(mound[i, j], 3)), 2 if mound[i, j] == 100 else 1) for s in range(1, 6) for i in range(40) for j in range(40)]
+    points = spark.createDataFrame(pts, "survey_id long, x double, y double, z double, classification int")
+    _, g = grid_frame(spark, [mound] * 5)
+    texts = [(1, None), (2, '{"height_threshold": 2.0}'), (3, '{"min_heap_area": 10000}'), (4, '{"manual_base_elevation": 99.0}'), (5, '{"height_threshold": "x"}')]
+    configs = parse_config(spark.createDataFrame(texts, "survey_id long, config string"))
+    result = process(points, g, Config(), configs=configs)
+    got = {x["survey_id"]: x for x in result.metrics.collect()}
+    one = {x["survey_id"]: x for x in process(points.where("survey_id = 1"), g.where("survey_id = 1"), Config()).metrics.collect()}
+    assert got[1]["volume_m3"] == one[1]["volume_m3"] and set(got) <= {1, 2, 4}
+    assert got[2]["planimetric_area_m2"] < got[1]["planimetric_area_m2"] and got[2]["mean_height_m"] > got[1]["mean_height_m"]
+    codes = {x["survey_id"]: x["filter_code"] for x in result.classified.collect()}
+    assert codes[3] == "too_small" and 5 not in codes
+    base = {x["survey_id"]: (x["base"], x["method"]) for x in result.terrain.collect()}
+    assert base[4] == (99.0, "manual") and base[1][1] == "ground_classification" and 5 not in base
+    heaps = {x["survey_id"]: x for x in result.heaps().collect()}
+    assert heaps.keys() == got.keys() and all(len(x["rings"]) == 1 for x in heaps.values())
