@@ -274,11 +274,11 @@ def sql(k: int = 20) -> str:
     return f"""
     WITH tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {terms} AS term FROM documents) GROUP BY ALL),
     size AS MATERIALIZED (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY 1),
-    total AS (SELECT count(*) AS N, CAST(sum(n) AS BIGINT) AS L FROM size),
-    weight AS (SELECT term, CAST(floor(1000 * ln((2e0 * N + 2e0) / (2e0 * count(*) + 1e0))) AS BIGINT) AS w FROM tf, total GROUP BY term, N),
+    total AS (SELECT count(*) AS texts, CAST(sum(n) AS BIGINT) AS terms FROM size),
+    weight AS (SELECT term, CAST(floor(1000 * ln((2e0 * texts + 2e0) / (2e0 * count(*) + 1e0))) AS BIGINT) AS w FROM tf, total GROUP BY term, texts),
     asked AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, {terms} AS term FROM benchmark) GROUP BY ALL),
     scored AS (
-      SELECT item_id, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * N) // L)))) AS BIGINT) AS score
+      SELECT item_id, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * texts) // terms)))) AS BIGINT) AS score
       FROM asked JOIN weight USING (term) JOIN tf USING (term) JOIN size USING (doc_id), total GROUP BY ALL)
     SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
       SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
