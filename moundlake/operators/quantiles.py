@@ -36,12 +36,16 @@ def group_percentile(
     """
     keys = list(keys)
     exact = F.round(F.col(value), MICRON)
+    row = F.struct(*keys, exact.alias("_v"), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("_w"))
+    # both uses of the counts carry the same filters, so that they share one scan and one exchange; inline() makes
+    # plain columns of keys and values, whose formulas the filters would repeat otherwise
     counts = (
-        df.where(F.col(value).isNotNull())
-        .select(*keys, exact.alias("_v"), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("_w"))
+        df.select(F.inline(F.array(row)))
+        .where(" and ".join(f"`{name}` is not null" for name in [*keys, "_v"]))
         .groupBy(*keys, "_v")
         .agg(F.sum("_w").alias("_n"))
         .withColumn("_b", F.floor(F.col("_v") / F.lit(step)))
+        .where("_b is not null")
     )
     running = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
