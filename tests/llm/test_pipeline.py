@@ -1,5 +1,6 @@
 """The mixing operator's small cases and the pipeline, stage by stage."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -46,6 +47,31 @@ def test_mix_keeps_its_limits(spark, how):
         assert {(r["row"]["doc_id"], r["row"]["text"]) for r in rows} == {(i, t) for i, t, _ in ROWS}
 
 
+@pytest.mark.parametrize("how", [{"entropy_rise": 0.0}, {"entropy_rise": None, "entropy_share": 0.01}, {"entropy_rise": None, "max_repeats": 1.0}])
+def test_a_mix_that_changes_nothing_uses_every_row_once(spark, how):
+    rows = mixed(spark, ROWS, block_tokens=50, **how)
+    assert Counter((r["row"]["doc_id"], r["row"]["text"], r["row"]["source"]) for r in rows) == Counter(ROWS)
+    assert {r["epoch"] for r in rows} == {0} and {r["limits_met"] for r in rows} == {"entropy_share" not in how}
+
+
+@pytest.mark.parametrize("rise", [0.3, 0.5, 1.0])
+def test_mix_meets_an_entropy_between_the_shares_and_the_largest(spark, rise):
+    given = ROWS[:-1]  # no text longer than a quota
+    rows = mixed(spark, given, block_tokens=50, max_repeats=None, entropy_rise=rise)
+    quota = {(r["row"]["source"] or ""): r["quota"] for r in rows}
+    tokens = Counter()
+    for _, t, s in given:
+        tokens[s or ""] += max(1, len((t or "").split()))
+
+    def entropy(weights):
+        return -sum(w / sum(weights) * math.log(w / sum(weights)) for w in weights)
+
+    low = entropy(tokens.values())
+    assert set(quota) == set(tokens) and sum(quota.values()) == sum(tokens.values())  # the budget to the token
+    assert entropy(quota.values()) == pytest.approx(low + rise * (math.log(len(tokens)) - low), abs=2e-3)
+    assert max(r["epoch"] for r in rows) > 0 and all(r["limits_met"] for r in rows)
+
+
 def test_mix_of_nothing_and_of_one(spark):
     assert mixed(spark, [(1, "a", "s")], budget_ratio=2.0, entropy_share=None)[0]["quota"] == 2
     df = spark.createDataFrame([], "doc_id long, text string, source string")
