@@ -22,16 +22,20 @@ LEET = {
 }
 SIGNS = re.escape("".join(LEET))
 LETTERS = 28  # word boundary, a to z, any other letter
-SWAPPED = re.compile(rf"[{SIGNS}][a-z]".encode())
-REPEATED = re.compile(rb"([a-z])\1\1")
-SPACED = re.compile(rf"(?<![a-z0-9])[a-z{SIGNS}](?:[ ._*-][a-z{SIGNS}]){{2,}}(?![a-z0-9])".encode())
+SPACED = re.compile(rf"(?<![a-z0-9])[a-z{SIGNS}](?:[\s._*-]+[a-z{SIGNS}]){{2,}}(?![a-z0-9])".encode())
+BETWEEN = re.compile(rb"[\s._*-]+")
+LETTER = re.compile(rb"[a-z]")
 JOINED = re.compile(rb"(?<![a-z])[a-z]+(?:[._*-][a-z]+)+(?![a-z])")
-TOKEN_BYTES = frozenset(b"abcdefghijklmnopqrstuvwxyz" + "".join(LEET).encode())
+# What a byte of a lower-cased text can be in a token: 1 a letter, 2 a sign for one, 0 neither.
+KIND = np.array([1 if 97 <= c < 123 else 2 if chr(c) in LEET else 0 for c in range(256)], dtype=np.uint8)
 # Everything but letters parts words; bytes above 127 belong to letters here.
 PLAIN = bytes(c + 32 if 65 <= c < 91 else c if 97 <= c < 123 or c > 127 else 32 for c in range(256))
 CODES = np.array([c - 96 if 97 <= c < 123 else 27 if c > 127 else 0 for c in PLAIN], dtype=np.int32)
-# Log-probabilities of the channel: a sign used as a letter, a letter written again, a sign that means no letter.
-SWAP_COST, REPEAT_COST = log(0.2), log(0.3)
+# Log-probabilities of the channel: a sign used as a letter, a letter written again, a gap wider than usual inside a word, the end
+# of a word at any other gap between letters.
+SWAP_COST, REPEAT_COST, WIDE_COST, SPLIT_COST = log(0.2), log(0.3), log(0.1), log(0.1)
+# Tokens longer than this are decoded each time they come up.
+REMEMBERED = 64
 PREFIXES = (4, 5, 6, 7, 8)
 INPUTS = 6
 # A word counts this often in one text at most, so that repetition isn't taken for spread.
@@ -61,8 +65,48 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out.reshape(LETTERS, LETTERS, LETTERS)
 
 
+def lattice(token: str) -> list[list[tuple[str, float]]]:
+    """What each run of one character of ``token`` can mean, with its cost.
+
+    A run is one letter or a double one, whatever its length. Letters parted by gaps (spaces, as many as
+    the gap is wide) may belong to one word or to two; a gap wider than the usual one hints at two.
+    """
+    runs: list[list] = []  # character, times, gap before the run, any gap inside
+    widths = Counter(len(g) for g in re.findall(" +", token))
+    gap, usual = 0, max(widths, key=lambda w: (widths[w], -w), default=0)
+    for c in token:
+        if c == " ":
+            gap += 1
+        elif runs and runs[-1][0] == c:
+            runs[-1][1] += 1
+            runs[-1][3] |= gap > 0
+            gap = 0
+        else:
+            runs.append([c, 1, gap, False])
+            gap = 0
+    steps = []
+    for c, times, before, parted in runs:
+        again = REPEAT_COST if times > 1 else 0.0
+        pieces = []
+        for x in LEET.get(c, c):
+            cost = SWAP_COST if c in LEET else 0.0
+            pieces.append((x, cost + again))
+            if times > 1:  # two or more can mean a double letter, or the end of a word and the start of the next
+                double = 2 * cost + (REPEAT_COST if times > 2 else 0.0)
+                pieces.append((x + x, double))
+                if parted:
+                    pieces.append((f"{x} {x}", double + SPLIT_COST))
+                    if times > 2:
+                        pieces.append((f"{x}{x} {x}", double + cost + SPLIT_COST))
+        if before:
+            whole, split = (WIDE_COST, 0.0) if before > usual else (0.0, SPLIT_COST)
+            pieces = [way for x, cost in pieces for way in ((x, cost + whole), (" " + x, cost + split))]
+        steps.append(pieces)
+    return steps
+
+
 class Decoder:
-    """Viterbi decoding of one disguised token under a letter trigram model."""
+    """Viterbi decoding of one disguised token, or run of spaced letters, under a letter trigram model."""
 
     def __init__(self, counts: np.ndarray):
         one = counts.sum(axis=(0, 1)) + 1
@@ -74,6 +118,8 @@ class Decoder:
 
     def restore(self, token: str) -> str:
         """``decode``, remembering the tokens of late."""
+        if len(token) > REMEMBERED:
+            return self.decode(token)
         if token not in self.known:
             if len(self.known) >= 100_000:
                 self.known.clear()
@@ -81,45 +127,46 @@ class Decoder:
         return self.known[token]
 
     def decode(self, token: str) -> str:
-        """The likeliest word behind ``token``, a text of letters and LEET signs."""
-        runs: list[list] = []
-        for c in token:
-            if runs and runs[-1][0] == c:
-                runs[-1][1] += 1
-            else:
-                runs.append([c, 1])
-        states = {(0, 0): (0.0, "")}  # the last two letters: score, text so far
-        for c, times in runs:
-            choices = [(x, 0.0) for x in c] if c not in LEET else [(x, SWAP_COST) for x in LEET[c]]
+        """The likeliest words behind ``token``, a text of letters, LEET signs and gaps, in time linear in its length."""
+        states: dict = {(0, 0): (0.0, None)}  # the last two letters: score, text so far as a chain of pieces
+        for pieces in lattice(token):
+            pieces = [(x, cost, [0 if c == " " else ord(c) - 96 for c in x]) for x, cost in pieces]
             after: dict = {}
-            for (a, b), (score, text) in states.items():
-                for x, cost in choices:
-                    n = ord(x) - 96
-                    once = score + cost + self.log[a][b][n] + (REPEAT_COST if times > 1 else 0.0)
-                    ways = [((b, n), once, text + x)]
-                    if times > 1:  # two or more can mean a double letter
-                        ways.append(((n, n), score + 2 * cost + self.log[a][b][n] + self.log[b][n][n] + (REPEAT_COST if times > 2 else 0.0), text + x + x))
-                    for key, value, words in ways:
-                        if key not in after or value > after[key][0]:
-                            after[key] = (value, words)
+            for (a, b), (score, chain) in states.items():
+                for x, cost, codes in pieces:
+                    p, q, value = a, b, score + cost
+                    for n in codes:
+                        value += self.log[p][q][n]
+                        p, q = q, n
+                    if (p, q) not in after or value > after[p, q][0]:
+                        after[p, q] = (value, (chain, x))
             states = after
-        return max((score + self.log[a][b][0], text) for (a, b), (score, text) in states.items())[1]
+        chain = max(((score + self.log[a][b][0], chain) for (a, b), (score, chain) in states.items()), key=lambda s: s[0])[1]
+        out = []
+        while chain:
+            chain, x = chain
+            out.append(x)
+        return "".join(reversed(out))
 
 
 def disguised(low: bytes) -> set[str]:
-    """Tokens of a lower-cased text that may hide a word: with signs for letters, repeated letters, or single spaced letters."""
+    """Tokens of a lower-cased text that may hide words: with signs for letters, letters written again, or letters apart.
+
+    Whole tokens and runs of any length; tokens without any letter are taken as numbers.
+    """
     found = set()
-    for pattern in (SWAPPED, REPEATED):
-        for m in pattern.finditer(low):
-            a, b = m.span()
-            while a and low[a - 1] in TOKEN_BYTES and b - a < 64:
-                a -= 1
-            while b < len(low) and low[b] in TOKEN_BYTES and b - a < 64:
-                b += 1
-            found.add(low[a:b].decode().strip("!|+"))
+    kind = KIND[np.frombuffer(b" " + low + b" ", np.uint8)]
+    inside = kind > 0
+    edges = np.flatnonzero(inside[1:] != inside[:-1])  # in places of ``low``: starts and ends in turn
+    codes = np.frombuffer(low, np.uint8)
+    marks = kind[1:-1] == 2
+    marks[:-1] |= (codes[1:] == codes[:-1]) & (kind[1:-2] == 1)
+    at = np.unique(np.searchsorted(edges[::2], np.flatnonzero(marks), side="right") - 1)
+    tokens = {low[a:b].strip(b"!|+") for a, b in zip(edges[2 * at].tolist(), edges[2 * at + 1].tolist(), strict=True)}
+    found.update(t.decode() for t in tokens if LETTER.search(t))
     for m in SPACED.finditer(low):
-        letters = m.group()[::2].decode()
-        found.update(letters[i : i + 64] for i in range(0, len(letters), 48))
+        if LETTER.search(m.group()):
+            found.add(BETWEEN.sub(lambda g: b" " * len(g.group()), m.group()).decode())
     return found
 
 
@@ -128,7 +175,7 @@ def words_of(text: bytes, decoder: Decoder) -> list[bytes]:
     words = text.translate(PLAIN).split()
     low = text.lower()
     known = {*words}
-    restored = {decoder.restore(t).encode() for t in disguised(low)} | {re.sub(rb"[._*-]", b"", m.group()) for m in JOINED.finditer(low)}
+    restored = {w for t in disguised(low) for w in decoder.restore(t).encode().split()} | {re.sub(rb"[._*-]", b"", m.group()) for m in JOINED.finditer(low)}
     return words + sorted(restored - known)
 
 
@@ -243,12 +290,14 @@ def score(
     """``(row, held_out, score, predicted)``, one row per input row; ``row`` holds the input columns, without the text if so asked.
 
     A letter trigram model is counted over all whole texts outside the held-out fold. Words that
-    hide behind signs, repetition or spacing are decoded over a lattice of the letters each
-    sign can mean; the words of the restored text and their beginnings are looked up among
-    clues learnt from about ``max_labels`` labelled documents at most (those alike but for case
+    hide behind signs, repetition or spacing (any run of white space and of ``._*-`` between single letters,
+    split into words where the letters say so) are decoded over a lattice of the letters each
+    sign can mean; tokens without a letter are numbers. The words of the restored text and their beginnings are looked up among
+    clues (the ``max_clues`` heaviest) learnt from about ``max_labels`` labelled documents at most (those alike but for case
     and white space teach once), and a logistic model of the hits gives the score. Nothing is shuffled to score.
 
-    Defined cases: null and empty texts are scored as texts without hits; without labels all
+    Defined cases: null and empty texts are scored as texts without hits; very long texts, tokens and runs are read
+    whole, in time linear in their length; without labels all
     scores are 0.1, with one class only all are alike; null ids are scored and never train; rows
     come back as often as they went in; an empty table gives no rows; input columns live inside ``row``.
     """

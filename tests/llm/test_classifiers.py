@@ -1,5 +1,7 @@
 """Quality and toxicity scores: held-out accuracy, odd inputs, and the parts of the models."""
 
+import itertools
+
 import numpy as np
 import pytest
 
@@ -53,6 +55,44 @@ def test_disguised_words_are_restored(spark):
     assert {b"idiot", b"moron", b"stupid", b"clown", b"trash"} <= set(found)
 
 
+@pytest.mark.parametrize(("text", "words"), [
+    ("an iiddiioott", {"idiot"}), ("mo" + "r" * 80 + "on", {"moron"}), ("so m  o  r  o  n now", {"moron"}), ("m\no\nr\no\nn", {"moron"}),
+    ("a m o r o n", {"a", "moron"}), ("y o u i d i o t", {"you", "idiot"}), ("y-o-u s.t.u.p.i.d", {"stupid"}), ("his a$$", {"ass"}), ("hat3 1234", {"hate"}),
+    ("x " + "m o r o n " * 300, {"moron"}),
+])
+def test_disguises_of_any_length_and_spacing(decoder, text, words):
+    assert words <= set(w.decode() for w in toxicity.words_of(text.encode(), decoder))
+
+
+@pytest.fixture(scope="module")
+def decoder(spark):
+    words = "you are an idiot and a moron the other line of words is plain his ass they hate trash clown stupid people stop then it ended".split()
+    rng = np.random.default_rng(1)
+    docs = spark.createDataFrame([(" ".join(rng.choice(words, 2000)),)], "text string")
+    return toxicity.Decoder(toxicity.letter_counts(docs))
+
+
+@pytest.mark.parametrize("token", ["1d10t", "iiddiioott", "m o  r o", "a$$", "s s s o", "t rr0", "x", "8 8a", "h4!+3", "a a"])
+def test_viterbi_equals_enumeration(decoder, token):
+    def score(text, cost):
+        codes = [0, 0, *(0 if c == " " else ord(c) - 96 for c in text), 0]
+        return cost + sum(decoder.log[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False))
+
+    every = {}
+    for path in itertools.product(*toxicity.lattice(token)):
+        text, value = "".join(x for x, _ in path), sum(c for _, c in path)
+        every[text] = max(score(text, value), every.get(text, -np.inf))
+    best = max(every.values())
+    assert every[decoder.decode(token)] == pytest.approx(best)
+
+
+def test_tokens_with_marks():
+    assert toxicity.disguised(b"all plain 1234 w0rd! x") == {"all", "w0rd"} and toxicity.disguised(b"") == set()
+    assert toxicity.disguised(b"a  b\tc 7 7 7") == {"a  b c 7 7 7"} and toxicity.disguised(b"7 7 7") == set()
+    long = "ab0" * 30_000
+    assert toxicity.disguised(long.encode()) == {long}
+
+
 def test_near_copies_make_no_clue(spark):
     copy = "zork blit " + " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
     rows = [(i, f"{i} start {copy}", 1) for i in range(40)] + [(100 + i, f"fine text {i} of plain words", 0) for i in range(200)]
