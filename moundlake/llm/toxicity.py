@@ -66,14 +66,16 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """What each run of one character of ``token`` can mean, with its cost.
+    """What each run of one character of ``token`` can mean, with its cost; letters that can mean one thing only go together.
 
     A run is one letter or a double one, whatever its length. Letters parted by gaps (spaces, as many as
     the gap is wide) may belong to one word or to two; a gap wider than the usual one hints at two.
     """
     runs: list[list] = []  # character, times, gap before the run, any gap inside
-    widths = Counter(len(g) for g in re.findall(" +", token))
-    gap, usual = 0, max(widths, key=lambda w: (widths[w], -w), default=0)
+    gap = usual = 0
+    if " " in token:
+        widths = Counter(len(g) for g in re.findall(" +", token))
+        usual = max(widths, key=lambda w: (widths[w], -w), default=0)
     for c in token:
         if c == " ":
             gap += 1
@@ -84,8 +86,14 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         else:
             runs.append([c, 1, gap, False])
             gap = 0
-    steps = []
+    steps: list[list] = []
     for c, times, before, parted in runs:
+        if times == 1 and not before and c not in LEET:  # letters that mean themselves go together
+            if steps and len(steps[-1]) == 1 and len(steps[-1][0][0]) < REMEMBERED:
+                steps[-1] = [(steps[-1][0][0] + c, 0.0)]
+            else:
+                steps.append([(c, 0.0)])
+            continue
         again = REPEAT_COST if times > 1 else 0.0
         pieces = []
         for x in LEET.get(c, c):
@@ -128,15 +136,16 @@ class Decoder:
 
     def decode(self, token: str) -> str:
         """The likeliest words behind ``token``, a text of letters, LEET signs and gaps, in time linear in its length."""
+        table = self.log
         states: dict = {(0, 0): (0.0, None)}  # the last two letters: score, text so far as a chain of pieces
         for pieces in lattice(token):
-            pieces = [(x, cost, [0 if c == " " else ord(c) - 96 for c in x]) for x, cost in pieces]
+            pieces = [(x, cost, [c & 31 for c in x.encode()]) for x, cost in pieces]  # a space is 0, a is 1
             after: dict = {}
             for (a, b), (score, chain) in states.items():
                 for x, cost, codes in pieces:
                     p, q, value = a, b, score + cost
                     for n in codes:
-                        value += self.log[p][q][n]
+                        value += table[p][q][n]
                         p, q = q, n
                     if (p, q) not in after or value > after[p, q][0]:
                         after[p, q] = (value, (chain, x))
