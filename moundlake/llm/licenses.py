@@ -24,7 +24,7 @@ class Rule:
 SENTENCES = {
     "reserved": ("all rights reserved",),
     "mit_released": ("released under the mit license", "licensed under the mit license", "this project is licensed under the mit license",
-                     "distributed under the mit license"),
+                     "distributed under the mit license", "spdx license identifier mit"),
     "mit_grant": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
                   "files the software to deal in the software without restriction including without limitation the rights to use copy modify "
                   "merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is "
@@ -33,12 +33,28 @@ SENTENCES = {
     "as_is": ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
               "merchantability fitness for a particular purpose and noninfringement",),
     "apache_short": ("licensed under the apache license version 2.0", "licensed under the apache license version 2.0 the license",
-                     "released under the apache license version 2.0", "distributed under the apache license version 2.0"),
+                     "released under the apache license version 2.0", "distributed under the apache license version 2.0",
+                     "licensed under the apache 2.0 license", "released under the apache 2.0 license", "spdx license identifier apache 2.0"),
+    "apache_head": ("apache license",),
+    "apache_version": ("version 2.0 january 2004",),
     "apache_comply": ("you may not use this file except in compliance with the license",),
     "apache_copy": ("you may obtain a copy of the license at http www.apache.org licenses license 2.0",),
     "gpl3_short": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3",
                    "released under the gnu general public license version 3"),
-    "gpl_grant": ("this program is free software",),
+    "gpl_grant": ("this program is free software", "this library is free software"),
+    "gpl_modify": ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+                   "software foundation",),
+    "lgpl_modify": ("you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free "
+                    "software foundation",),
+    "either_2": ("either version 2 of the license or at your option any later version",),
+    "either_21": ("either version 2.1 of the license or at your option any later version",),
+    "either_3": ("either version 3 of the license or at your option any later version",),
+    "lgpl3_or_later": ("you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free "
+                       "software foundation either version 3 of the license or at your option any later version",),
+    "gpl3_spdx": ("spdx license identifier gpl 3.0 or later",),
+    "gpl2_spdx": ("spdx license identifier gpl 2.0 or later",),
+    "bsd3_spdx": ("spdx license identifier bsd 3 clause",),
+    "bsd2_spdx": ("spdx license identifier bsd 2 clause",),
     "gpl3_or_later": ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
                       "software foundation either version 3 of the license or at your option any later version",),
     "gpl2_or_later": ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
@@ -66,11 +82,21 @@ RULES = (
     Rule("MIT", ("mit_released",)),
     Rule("Apache-2.0", ("apache_short", "apache_comply", "apache_copy")),
     Rule("Apache-2.0", ("apache_short",)),
+    Rule("Apache-2.0", ("apache_head", "apache_version")),
     Rule("GPL-3.0-or-later", ("gpl_grant", "gpl3_or_later")),
+    Rule("GPL-3.0-or-later", ("gpl_grant", "gpl_modify", "either_3")),
+    Rule("GPL-3.0-or-later", ("gpl3_spdx",)),
     Rule("GPL-2.0-or-later", ("gpl_grant", "gpl2_or_later")),
+    Rule("GPL-2.0-or-later", ("gpl_grant", "gpl_modify", "either_2")),
+    Rule("GPL-2.0-or-later", ("gpl2_spdx",)),
+    Rule("LGPL-3.0-or-later", ("gpl_grant", "lgpl3_or_later")),
+    Rule("LGPL-3.0-or-later", ("gpl_grant", "lgpl_modify", "either_3")),
+    Rule("LGPL-2.1-or-later", ("gpl_grant", "lgpl_modify", "either_21")),
     Rule("GPL-3.0", ("gpl3_short",)),
     Rule("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
+    Rule("BSD-3-Clause", ("bsd3_spdx",)),
     Rule("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary"), ("BSD-3-Clause",)),
+    Rule("BSD-2-Clause", ("bsd2_spdx",), ("BSD-3-Clause",)),
     Rule("ISC", ("isc_grant",)),
     Rule("MPL-2.0", ("mpl_short",)),
     Rule("CC-BY-4.0", ("cc_by",)),
@@ -79,7 +105,8 @@ RULES = (
     Rule("CC0-1.0", ("cc0",)),
     Rule("Unlicense", ("unlicense",)),
     Rule("proprietary", ("reserved",), (
-        "MIT", "Apache-2.0", "GPL-3.0-or-later", "GPL-2.0-or-later", "GPL-3.0", "BSD-3-Clause", "BSD-2-Clause", "ISC", "MPL-2.0",
+        "MIT", "Apache-2.0", "GPL-3.0-or-later", "GPL-2.0-or-later", "LGPL-3.0-or-later", "LGPL-2.1-or-later", "GPL-3.0", "BSD-3-Clause", "BSD-2-Clause",
+        "ISC", "MPL-2.0",
         "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense",
     )),
 )
@@ -89,6 +116,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # lines are only wrapped, at an empty line.
 LINE_ENDS = r"[.;:!?]+(\s|$)|\n"
 WRAPPED_ENDS = r"[.;:!?]+(\s|$)|\n\s*\n"
+# Slots, filled before sentences are cut: (pattern on lower-cased text, its replacement). A holder's name has up to
+# 200 characters, full stops included; an SPDX line is a sentence of its own.
+SLOTS = (
+    (r"neither the name of [^;:]{1,200}?[ \t\r\n]+nor the names of (its|their)[ \t\r\n]+contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (r"spdx-license-identifier:[ \t]*", "\n\nspdx license identifier "),
+)
 NOT_WORD = r"[^a-z0-9.\x{0080}-\x{10FFFF}]+"
 
 
@@ -106,7 +139,10 @@ def identifiers(text: Column, ends: str) -> Column:
     """Identifiers of the known sentences of ``text``, in order."""
     known = known_sentences()
     texts, keys = F.array(*(F.lit(t) for t, _ in known)), F.array(*(F.lit(k) for _, k in known))
-    sentences = F.transform(F.split(text, ends), normal_form)
+    filled = F.translate(text, UPPER, LOWER)
+    for pattern, instead in SLOTS:
+        filled = F.regexp_replace(filled, pattern, instead)
+    sentences = F.transform(F.split(filled, ends), normal_form)
     found = F.filter(sentences, lambda s: s.isin([t for t, _ in known]))
     return F.transform(found, lambda s: F.element_at(keys, F.array_position(texts, s).cast("int")))
 
@@ -119,7 +155,8 @@ def in_order(sequence: Column, sentences: tuple[str, ...]) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``(doc_id, sentence_ids, licences)``, one row per input row.
 
-    Whole texts are cut into sentences, each is brought into its normal form and mapped to the
+    Names of holders are brought into one form and SPDX lines made sentences of their own (``SLOTS``), then
+    whole texts are cut into sentences, each is brought into its normal form and mapped to the
     identifier of the known sentence it equals; the identifier sequence is matched against the
     ordered rules. Texts are cut twice, once with line breaks as ends and once taking lines as
     wrapped, so a licence text is known in both layouts. ``licences`` lists the names found, in
@@ -174,6 +211,8 @@ def sql(source: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:
 
     def ids(ends: str) -> str:
         low = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+        for pattern, instead in SLOTS:
+            low = f"regexp_replace({low}, {quoted(pattern)}, {quoted(instead)}, 'g')"
         cut = f"string_split_regex({low}, {quoted(ends)})"
         normal = f"list_transform({cut}, lambda s: trim(regexp_replace(s, {quoted(NOT_WORD)}, ' ', 'g')))"
         return f"list_transform(list_filter({normal}, lambda s: list_contains({texts}, s)), lambda s: {keys}[list_position({texts}, s)])"

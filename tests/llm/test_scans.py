@@ -76,6 +76,33 @@ IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
 
 
+NOTICES = [
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+     "conditions are met:\n\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following "
+     "disclaimer.\n\nRedistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in "
+     "the documentation and/or other materials provided with the distribution.\n\nNeither the name of Acme Corp.\nnor the names of its contributors may "
+     "be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("MIT", "# SPDX-License-Identifier: MIT\nx = 1"), ("MIT", "a line // SPDX-License-Identifier: MIT"), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("Apache-2.0", "Licensed under the Apache-2.0 license."), ("Apache-2.0", "  Apache License\n  Version 2.0, January 2004\n  http://www.apache.org/licenses/"),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
+     "License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+     "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+]
+
+
+def test_notices_with_slots_in_both_engines(spark):
+    import duckdb
+    import pandas as pd
+
+    notices = pd.DataFrame({"doc_id": range(len(NOTICES)), "text": [t for _, t in NOTICES]})  # read by DuckDB under this name
+    want = [[name] for name, _ in NOTICES]
+    rows = licenses.scan(spark.createDataFrame(notices)).orderBy("doc_id").collect()
+    assert [r["licences"] for r in rows] == want
+    found = duckdb.sql(licenses.sql("notices") + " ORDER BY doc_id").fetchall()
+    assert [r[2] for r in found] == want and [r[1] for r in found] == [r["sentence_ids"] for r in rows]
+
+
 def test_licences(spark):
     bsd = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
            "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
