@@ -212,7 +212,7 @@ def sql(
     ),
     sources AS (SELECT source, sum(tokens)::BIGINT AS t FROM base GROUP BY ALL),
     whole AS (SELECT sum(t)::BIGINT AS tokens, count(*) AS n FROM sources),
-    natural AS (SELECT {entropy} AS natural FROM (SELECT t, tokens, 1.0::DOUBLE AS a FROM sources, whole)),
+    as_is AS (SELECT {entropy} AS own_entropy FROM (SELECT t, tokens, 1.0::DOUBLE AS a FROM sources, whole)),
     search(low, high) AS (
         SELECT -1, {steps}
         UNION ALL
@@ -220,8 +220,8 @@ def sql(
         FROM (
             SELECT low, high, mid, (
                 SELECT {budget_ratio} * max(pow(t / tokens, a - 1)) / (sum({raised}) / {UNIT}.0) <= {max_repeats} + 1e-9
-                   AND {entropy} <= any_value(natural) + {entropy_rise} * (ln(any_value(n)) - any_value(natural)) + 1e-9
-                FROM (SELECT t, tokens, n, natural, mid / {steps}.0::DOUBLE AS a FROM sources, whole, natural)
+                   AND {entropy} <= any_value(own_entropy) + {entropy_rise} * (ln(any_value(n)) - any_value(own_entropy)) + 1e-9
+                FROM (SELECT t, tokens, n, own_entropy, mid / {steps}.0::DOUBLE AS a FROM sources, whole, as_is)
             ) AS good
             FROM (SELECT low, high, (low + high) // 2 AS mid FROM search WHERE high - low > 1)
         )
